@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import garbled, leakage, packing, quotes, splitting
+from postmill.llm import garbled, leakage, packing, personal, quotes, splitting
 from postmill.session import table
 
 
@@ -13,6 +13,14 @@ def _mail_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return garbled.mail_records(table(spark, sf_dir, "messages"), table(spark, sf_dir, "search_documents"))
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.found_kinds(table(spark, sf_dir, "search_documents"))
+
+
+def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.redacted(table(spark, sf_dir, "search_documents"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = garbled.garbled_records(_mail_records(spark, sf_dir))
     return found.select(F.col("record").alias("message_id"), "field")
@@ -54,7 +62,7 @@ def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p5_found, p5_restored, p6_found, p6_new_text, p7_containers, p8_found, p8_cleaned, p9_found, p9_pieces)
+    for f in (p1_found, p1_redacted, p5_found, p5_restored, p6_found, p6_new_text, p7_containers, p8_found, p8_cleaned, p9_found, p9_pieces)
 }
 
 SQL = {

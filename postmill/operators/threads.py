@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from postmill.functions.ids import message_id_key
 from postmill.functions.subjects import base_subject, is_forward, is_reply
@@ -45,8 +46,10 @@ def components(inputs: DataFrame) -> DataFrame:
     """id, component of every message: messages that share an identifier, directly or through others."""
     mine = F.xxhash64(F.lit("message"), "account_id", "id")
     keys = F.array_distinct(F.array_compact(F.concat(F.array("declared"), "chain")))
-    edges = inputs.select(mine.alias("a"), F.explode(keys).alias("k"), "account_id").select("a", F.xxhash64(F.lit("key"), "account_id", "k").alias("b"))
-    found = connected_components(edges)
+    named = inputs.select(mine.alias("a"), F.explode(keys).alias("k"), "account_id").select("a", F.xxhash64("account_id", "k").alias("k"))
+    # one anchor for each identifier, its least message: identifiers are no nodes, and those of one message no edges
+    anchor = named.groupBy("k").agg(F.min("a").alias("b"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    found = connected_components(named.join(anchor, "k").select("a", "b"))
     return inputs.select("account_id", "id", mine.alias("h")).join(found, F.col("h") == F.col("node"), "left").select(
         "account_id", "id", F.coalesce("component", "h").alias("component")
     )
@@ -165,7 +168,7 @@ def _kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
-@F.udf("string")
+@F.udf(T.StringType())
 def _tail_hash(text):
     """32-bit FNV-1a over UTF-16 units, in hex; only identifiers beyond the length bound come here."""
     h = 2166136261

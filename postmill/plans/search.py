@@ -44,29 +44,52 @@ def tokenised(documents: DataFrame) -> DataFrame:
     return arrays.withColumn("dl", reduce(Column.__add__, [F.size(f"{f}_t") for f in FIELDS]))
 
 
+def as_index(documents: DataFrame) -> DataFrame:
+    """Documents in their stored form; an index read back is taken as it is."""
+    return documents if "dl" in documents.columns else tokenised(documents)
+
+
+def write_index(documents: DataFrame, path: str) -> None:
+    """Store the index, clustered by account, so that a search of one account reads little of it."""
+    tokenised(documents).repartition("account_id", F.pmod(F.xxhash64("message_id"), F.lit(16))).sortWithinPartitions("account_id").write.parquet(path)
+
+
+def without(index: DataFrame, ids: DataFrame) -> DataFrame:
+    """The index less some documents; with ``unionByName`` of the new ones it is an update."""
+    return index.join(ids.select("message_id"), "message_id", "left_anti")
+
+
 def postings(documents: DataFrame) -> DataFrame:
     """message_id, account_id, field, pos, token."""
-    rows = tokenised(documents)
+    rows = as_index(documents)
     parts = [rows.select("message_id", "account_id", F.lit(f).alias("field"), F.posexplode(f"{f}_t").alias("pos", "token")) for f in FIELDS]
     return reduce(DataFrame.unionByName, parts)
 
 
 def document_frequencies(documents: DataFrame) -> DataFrame:
     """token, docs: distinct documents that hold it; one shuffle of distinct (token) per document, combined before it."""
-    rows = tokenised(documents).select(F.explode(F.array_distinct(F.concat(*[f"{f}_t" for f in FIELDS]))).alias("token"))
+    rows = as_index(documents).select(F.explode(F.array_distinct(F.concat(*[f"{f}_t" for f in FIELDS]))).alias("token"))
     return rows.groupBy("token").agg(F.count("*").alias("docs"))
 
 
+def _borders(phrase: list[str]) -> bool:
+    """Whether a phrase can overlap itself."""
+    return any(phrase[:k] == phrase[-k:] for k in range(1, len(phrase)))
+
+
 def _count_in(array: str, phrase: list[str]) -> Column:
-    if len(phrase) == 1:
-        return F.size(F.filter(array, lambda t: t == phrase[0]))
-    wanted = F.array(*[F.lit(t) for t in phrase])
     n = len(phrase)
-    starts = F.filter(
-        F.sequence(F.lit(1), F.greatest(F.size(array) - (n - 1), F.lit(1))),
-        lambda i: (F.size(array) >= n) & (F.slice(array, i, n) == wanted),
-    )
-    return F.when(F.array_contains(array, phrase[0]), F.size(starts)).otherwise(0)
+    if _borders(phrase):
+        wanted = F.array(*[F.lit(t) for t in phrase])
+        starts = F.filter(
+            F.sequence(F.lit(1), F.greatest(F.size(array) - (n - 1), F.lit(1))),
+            lambda i: (F.size(array) >= n) & (F.slice(array, i, n) == wanted),
+        )
+        return F.when(F.array_contains(array, phrase[0]), F.size(starts)).otherwise(0)
+    # each token stands between blanks of its own, so a phrase that cannot overlap itself is counted as a string
+    text = F.concat(F.lit(" "), F.array_join(array, "  "), F.lit(" "))
+    mark = " " + "  ".join(phrase) + " "
+    return ((F.length(text) - F.length(F.replace(text, F.lit(mark), F.lit("")))) / len(mark)).cast("int")
 
 
 def occurrences(phrase: list[str]) -> Column:
@@ -118,7 +141,7 @@ def search(
     limit: int = 50,
     strict_reference: bool = False,
 ) -> DataFrame:
-    """id, score, snippet of the best hits, best first; ties by date and id.
+    """id, score, snippet of the best hits, best first; ties by date and id. ``documents`` may be a stored index.
 
     Only excluded words: everything but what holds them (``strict_reference``: everything).
     """
@@ -130,11 +153,11 @@ def search(
     newest = (F.desc("received_at"), F.desc("id"))
     if not wanted:
         if unwanted and not strict_reference:
-            bad = tokenised(documents.filter(F.col("account_id") == account)).filter(reduce(Column.__or__, [occurrences(p) > 0 for p in unwanted]))
+            bad = as_index(documents.filter(F.col("account_id") == account)).filter(reduce(Column.__or__, [occurrences(p) > 0 for p in unwanted]))
             kept = kept.join(bad.select(F.col("message_id").alias("id")), "id", "left_anti")
         top = kept.orderBy(*newest).limit(limit)
         return top.select("id", F.lit(0.0).alias("score"), F.coalesce("preview", F.lit("")).alias("snippet"), "received_at")
-    hits = bm25(tokenised(documents), wanted).filter(F.col("account_id") == account)  # statistics span all accounts
+    hits = bm25(as_index(documents), wanted).filter(F.col("account_id") == account)  # statistics span all accounts
     for p in unwanted:
         hits = hits.filter(occurrences(p) == 0)
     scored = kept.select("id", "received_at").join(

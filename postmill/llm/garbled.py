@@ -216,7 +216,8 @@ def restored_text(records: DataFrame) -> DataFrame:
             )
 
     return (
-        records.distinct()
+        records.select("record", "field", "text")
+        .distinct()
         .join(per, ["record", "field"])
         .select("record", "field", "text", "swaps", "complete")
         .mapInArrow(kernel, "record string, field string, text string, restored string, complete boolean")

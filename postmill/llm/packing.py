@@ -119,7 +119,7 @@ def pack_documents(documents: DataFrame, capacity: int = CAPACITY, **options) ->
     whole = F.floor(F.col("tokens") / capacity)
     rest = F.col("tokens") - whole * capacity
     fits = F.col("tokens") <= capacity
-    item = F.concat_ws(":", "doc_id", F.when(fits, 0).otherwise(whole))
+    item = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.when(fits, 0).otherwise(whole).cast("string"))
     items = sized.filter(fits | (rest > 0)).select(
         item.alias("item"), F.when(fits, F.col("tokens")).otherwise(rest).alias("size")
     )
@@ -129,7 +129,7 @@ def pack_documents(documents: DataFrame, capacity: int = CAPACITY, **options) ->
         "doc_id", F.explode(F.sequence(F.lit(0).cast("bigint"), whole - 1)).alias("part"), F.lit(capacity).cast("bigint").alias("size")
     )
     return packed.select(
-        parts[0].cast("bigint").alias("doc_id"), parts[1].cast("bigint").alias("part"), "size", "container", "fill"
+        F.nullif(parts[0], F.lit("")).cast("bigint").alias("doc_id"), parts[1].cast("bigint").alias("part"), "size", "container", "fill"
     ).unionByName(
         own.select("doc_id", "part", "size", F.concat_ws("-", F.lit("w"), "doc_id", "part").alias("container"), F.col("size").alias("fill"))
     )

@@ -263,7 +263,7 @@ def _static(given: str | None, family: str) -> tuple:
     return row
 
 
-def _name_row(text: str, flat: str, a: int, b: int, given: str | None, family: str, gap: str, reverse: int, middle: int, addresses: str) -> tuple:
+def _name_row(text: str, flat: str, a: int, b: int, given: str | None, family: str, gap: str, reverse: int, middle: int, addresses: set[str]) -> tuple:
     before, after = flat[max(0, a - 10) : a], flat[b : b + 3]
     code, suffix, case, case2, other, size, both, odd, plain = _static(given, family)
     follows = 1 if after.lstrip().startswith("<") else 2 if not after.strip() else 3 if after[:1] in ".,;:)" else 0
@@ -306,7 +306,7 @@ _LETTERS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ012345
 
 
 def name_candidates(
-    text: str, flat: str, addresses: str, mails: list[int], given_at: list[tuple[int, int]]
+    text: str, flat: str, addresses: set[str], mails: list[int], given_at: list[tuple[int, int]]
 ) -> Iterator[tuple[int, int, tuple]]:
     """(start, end, features) of pairs of words, or of an initial and a word, that could be a person's name.
 
@@ -407,7 +407,9 @@ def _number_spans(flat: str, text: str) -> Iterator[tuple[int, int]]:
         a, b = m.span()
         line = text.find("\n", a, b)
         if line >= 0 and line - a >= 9 and (flat[b : b + 1].isalpha() or flat[b : b + 1] in (" ", ",") and (flat[b : b + 2].strip() == "," or flat[b + 1 : b + 2].isalpha())):
-            b = len(flat[:line].rstrip())  # the next line begins with a house number
+            b = line  # the next line begins with a house number
+            while flat[b - 1] == " ":
+                b -= 1
         if a:
             p = flat[a - 1]
             if p in "+(":
@@ -463,11 +465,14 @@ def candidates(text: str, record: str = "") -> Iterator[tuple[str, int, int, tup
         if k in found:
             for m in pattern.finditer(flat):
                 yield "street_address", m.start(), m.end(), _street_row(flat, m.start(), m.end())
-    addresses = " ".join([flat[a:at] for a, at in mails] + [record]).lower()
+    addresses = set(_PIECES.findall(" ".join([flat[a:at] for a, at in mails] + [record]).lower()))
     for a, b, row in name_candidates(text, flat, addresses, [a for a, _ in mails], given_at):
         yield "person_name", a, b, row
 
 
+_PIECES = re.compile(r"[a-z]{4,}")
+
+
 def local_parts(text: str | None) -> str:
     """Local parts of all addresses in a text."""
     return " ".join([text[a:at] for a, at in _mail_starts(text)]) if text else ""

@@ -137,6 +137,7 @@ def foreign_lines(body: str | None, sender: str | None = None) -> list[int]:
     out = [False] * n
     names: set[str] | None = None
     fresh = False  # new text other than a greeting was seen
+    kept = 0  # lines of new text so far
     i = 0
     while i < n:
         here = plain[i]
@@ -187,8 +188,9 @@ def foreign_lines(body: str | None, sender: str | None = None) -> list[int]:
             while start > 0 and plain[start - 1] and not marked[start - 1] and not out[start - 1] and not _ENDS.search(plain[start - 1]):
                 start -= 1
                 out[start] = True
+                kept -= 1
             # a notice ends its sender's text, unless it stands before it
-            if any(plain[x] and not out[x] for x in range(start)):
+            if kept:
                 break
             continue
         if short and len(here) <= 48 and here[-1] not in ".,:;?!":
@@ -197,6 +199,7 @@ def foreign_lines(body: str | None, sender: str | None = None) -> list[int]:
             if _signature_line(plain, marked, i, names):
                 break
         fresh = fresh or not (short and _GREETING.match(line))
+        kept += 1
         i += 1
     out[i:] = [True] * (n - i)
     return [i + 1 for i in range(n) if out[i] and plain[i]]

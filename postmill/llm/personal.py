@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -353,6 +354,7 @@ def name_candidates(
                 gap = text[x + len(s) : a]
                 if "@" not in s and gap.count("\n") < 2 and s[-1] not in ".:;!?)/>" and (comma or not s[-1].isdigit()):
                     yield x, e, _name_row(text, flat, x, e, given, s, gap, 1, 0, addresses)
+    given_ends = {e for _, e in hits}
     for m in _INITIAL.finditer(flat):
         a = m.start()
         if a and (flat[a - 1].isalnum() or flat[a - 1] == "-"):
@@ -365,7 +367,7 @@ def name_candidates(
             j = a
             while j and flat[j - 1] == " ":
                 j -= 1
-            if gap.count("\n") < 2 and flat[b : b + 1] != "@" and not any(e == j for _, e in hits):
+            if gap.count("\n") < 2 and flat[b : b + 1] != "@" and j not in given_ends:
                 yield a, b, _name_row(text, flat, a, b, None, s, gap, 0, 0, addresses)
     for m in _INITIAL_AFTER.finditer(flat):
         j = m.start()
@@ -504,11 +506,12 @@ class Judge:
             if p >= self.models[kind].threshold:
                 hits.append((-p, a - b, a, b, kind))
         hits.sort()
-        taken: list[tuple[int, int, str]] = []
+        taken: list[tuple[int, int, str]] = []  # in order of place; they do not overlap, so the neighbours decide
         for _, _, a, b, kind in hits:
-            if all(b <= x or a >= y for x, y, _ in taken):
-                taken.append((a, b, kind))
-        return sorted(taken)
+            k = bisect_left(taken, (a, b, kind))
+            if (k == 0 or taken[k - 1][1] <= a) and (k == len(taken) or taken[k][0] >= b):
+                taken.insert(k, (a, b, kind))
+        return taken
 
     def redact(self, text: str | None, record: str = "") -> str | None:
         """Text with a typed placeholder for each span; null stays null."""

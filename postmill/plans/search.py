@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from postmill.functions.text import fold_word, tokens
 from postmill.plans.predicates import all_of, resolve_mailboxes
 from postmill.plans.query_language import Clause, Query, parse
+from postmill.session import materialise, spread
 
 FIELDS = ("subject", "sender", "recipients", "body")
 K1, B = 1.2, 0.75
@@ -40,7 +41,7 @@ def unique_documents(documents: DataFrame) -> DataFrame:
 
 def tokenised(documents: DataFrame) -> DataFrame:
     """message_id, account_id, dl (tokens in all fields), and an array of tokens per field: the stored form of the index."""
-    arrays = documents.select("message_id", "account_id", *[tokens(F.col(f)).alias(f"{f}_t") for f in FIELDS])
+    arrays = spread(documents).select("message_id", "account_id", *[tokens(F.col(f)).alias(f"{f}_t") for f in FIELDS])
     return arrays.withColumn("dl", reduce(Column.__add__, [F.size(f"{f}_t") for f in FIELDS]))
 
 
@@ -101,9 +102,22 @@ def idf(documents: int, holding: int) -> float:
     return max(1e-6, math.log((documents - holding + 0.5) / (holding + 0.5)))
 
 
-def bm25(rows: DataFrame, phrases: list[list[str]]) -> DataFrame:
-    """``rows`` (tokenised) that hold all phrases, with ``bm25`` (negative, smaller is better)."""
-    counted = rows.select("*", *[occurrences(p).alias(f"f{i}") for i, p in enumerate(phrases)])
+def snippet(words: list[str], length: int = SNIPPET_TOKENS) -> Column:
+    """Up to ``length`` words of the body from just before the first hit, with … where text was left out."""
+    first = F.coalesce(reduce(F.least, [F.nullif(F.array_position("body_t", w), F.lit(0)) for w in words]) if len(words) > 1 else F.nullif(F.array_position("body_t", words[0]), F.lit(0)), F.lit(1))
+    start = F.greatest(first - 3, F.lit(1))
+    cut = F.array_join(F.slice("body_t", start.cast("int"), length), " ")
+    return F.concat(F.when(start > 1, "…").otherwise(""), cut, F.when(F.size("body_t") > start + length - 1, "…").otherwise(""))
+
+
+def bm25(rows: DataFrame, phrases: list[list[str]], unwanted: list[list[str]] = ()) -> DataFrame:
+    """message_id, account_id, snippet, bm25 (negative, smaller is better) of the tokenised ``rows`` that hold all phrases and none unwanted."""
+    hits = reduce(Column.__and__, [F.col(f"f{i}") > 0 for i in range(len(phrases))])
+    bad = reduce(Column.__or__, [occurrences(p) > 0 for p in unwanted], F.lit(False))
+    counts = [occurrences(p).alias(f"f{i}") for i, p in enumerate(phrases)]
+    # one pass over the text; what is kept of it are a few numbers a document, and the snippets of the hits
+    counted = rows.select("message_id", "account_id", "dl", "body_t", *counts, bad.alias("bad"))
+    counted = materialise(counted.select("message_id", "account_id", "dl", *[f"f{i}" for i in range(len(phrases))], "bad", F.when(hits, snippet([p[0] for p in phrases])).alias("snippet")), "counts")
     stats = counted.agg(
         F.count("*"), F.coalesce(F.avg("dl"), F.lit(0.0)), *[F.count_if(F.col(f"f{i}") > 0) for i in range(len(phrases))]
     ).first()
@@ -112,8 +126,7 @@ def bm25(rows: DataFrame, phrases: list[list[str]]) -> DataFrame:
     for i in range(len(phrases)):
         f = F.col(f"f{i}")
         parts.append(F.lit(idf(n, stats[2 + i])) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / mean)))
-    hits = reduce(Column.__and__, [F.col(f"f{i}") > 0 for i in range(len(phrases))])
-    return counted.filter(hits).withColumn("bm25", -reduce(Column.__add__, parts))
+    return counted.filter(hits & ~F.col("bad")).withColumn("bm25", -reduce(Column.__add__, parts))
 
 
 def recency(received: Column, now: datetime, weight: float) -> Column:
@@ -122,14 +135,6 @@ def recency(received: Column, now: datetime, weight: float) -> Column:
     return F.lit(float(weight)) / (1 + F.greatest(days, F.lit(0.0)) / RECENCY_DAYS)
 
 
-def snippet(words: list[str], length: int = SNIPPET_TOKENS) -> Column:
-    """Up to ``length`` words of the body from just before the first hit, with … where text was left out."""
-    first = F.coalesce(reduce(F.least, [F.nullif(F.array_position("body_t", w), F.lit(0)) for w in words]) if len(words) > 1 else F.nullif(F.array_position("body_t", words[0]), F.lit(0)), F.lit(1))
-    start = F.greatest(first - 3, F.lit(1))
-    cut = F.array_join(F.slice("body_t", start.cast("int"), length), " ")
-    return F.concat(F.when(start > 1, "…").otherwise(""), cut, F.when(F.size("body_t") > start + length - 1, "…").otherwise(""))
-
-
 def search(
     query: str | Query,
     account: str,
@@ -157,11 +162,7 @@ def search(
             kept = kept.join(bad.select(F.col("message_id").alias("id")), "id", "left_anti")
         top = kept.orderBy(*newest).limit(limit)
         return top.select("id", F.lit(0.0).alias("score"), F.coalesce("preview", F.lit("")).alias("snippet"), "received_at")
-    hits = bm25(as_index(documents), wanted).filter(F.col("account_id") == account)  # statistics span all accounts
-    for p in unwanted:
-        hits = hits.filter(occurrences(p) == 0)
-    scored = kept.select("id", "received_at").join(
-        hits.select(F.col("message_id").alias("id"), "bm25", snippet([p[0] for p in wanted]).alias("snippet")), "id"
-    )
+    hits = bm25(as_index(documents), wanted, unwanted).filter(F.col("account_id") == account)  # statistics span all accounts
+    scored = kept.select("id", "received_at").join(hits.select(F.col("message_id").alias("id"), "bm25", "snippet"), "id")
     score = F.round(F.col("bm25") - recency(F.col("received_at"), now, weight), 6)
     return scored.select("id", score.alias("score"), "snippet", "received_at").orderBy("score", *newest).limit(limit)

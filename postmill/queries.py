@@ -271,7 +271,7 @@ def _people_sql(columns: list[str], value: str) -> str:
 
 _filtered("from:Jonas", _people_sql(["from_addr"], "jonas"), "filter_from")
 _filtered("to:alice", _people_sql(["to_addr", "cc_addr"], "alice"), "filter_to")
-_filtered("subject:draft", "contains(lower(coalesce(subject, '')), 'draft')", "filter_subject")
+_filtered("subject:notes", "contains(lower(coalesce(subject, '')), 'notes')", "filter_subject")
 _filtered("list:lists", "contains(lower(coalesce(list_id, '')), 'lists')", "filter_list")
 _filtered(
     "in:Archive", f"list_has_any(coalesce(mailbox_ids, []), (select coalesce(list(id), []) from b where account_id = '{ACCOUNT}' and (lower(name) = 'archive' or id = 'Archive')))", "filter_in"
@@ -332,7 +332,7 @@ _text("text_all_terms", "archive draft")
 _text("text_phrase", '"archive box"')
 _text("text_word_phrase", "half-finished")
 _text("text_exclude", "archive -draft")
-_text("text_folded", "nächste")
+_text("text_folded", "numéro")
 
 
 def _score_sql(wanted: list[list[str]], filters: str, weight: float) -> str:

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postmill.llm.tokens import WORD
+from postmill.session import spread
 
 WORDS = 12
 BLOCK_CHARS = 8_000_000
@@ -155,7 +156,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, words: int = WORDS, blo
                     ["doc_id", "item_id", "words_matched"],
                 )
 
-        parts.append(documents.select("doc_id", "text").mapInArrow(kernel, schema))
+        parts.append(spread(documents.select("doc_id", "text")).mapInArrow(kernel, schema))
     return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
 
 
@@ -209,7 +210,7 @@ def without_leaks(
 ) -> DataFrame:
     """doc_id, text, removed_words of every document, leaked spans cut out; text is null where they cover too much of it."""
     spark = documents.sparkSession
-    out = documents.select("doc_id", "text", F.lit(0).cast("bigint").alias("removed_words"))
+    out = spread(documents.select("doc_id", "text")).select("doc_id", "text", F.lit(0).cast("bigint").alias("removed_words"))
     for block in _blocks(items, block_chars):
         shared = spark.sparkContext.broadcast(sorted(block))
 

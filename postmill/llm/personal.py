@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from postmill.llm.boosting import Boosted
 from postmill.llm.garbled import CHAINS, garble
+from postmill.session import spread
 
 KINDS = ("email", "phone", "id_number", "street_address", "person_name")
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "street_address": "[ADDRESS]", "person_name": "[PERSON]"}
@@ -574,7 +575,7 @@ def found_kinds(documents: DataFrame) -> DataFrame:
         ]
     )
     return (
-        documents.select("message_id", *FIELDS)
+        spread(documents.select("message_id", *FIELDS))
         .mapInArrow(kernel, "message_id string, code int")
         .filter("code <> 0")
         .groupBy("message_id")
@@ -596,4 +597,4 @@ def redacted(documents: DataFrame) -> DataFrame:
             done = [pa.array([judge.redact(t, h) for t, h in zip(columns[f], heads)], pa.string()) for f in FIELDS]
             yield pa.RecordBatch.from_arrays([b["message_id"], *done], ["message_id", *FIELDS])
 
-    return documents.select("message_id", *FIELDS).mapInArrow(kernel, "message_id string, body string, sender string, recipients string")
+    return spread(documents.select("message_id", *FIELDS)).mapInArrow(kernel, "message_id string, body string, sender string, recipients string")

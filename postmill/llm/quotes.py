@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from postmill.session import spread
+
 # Closing formulas, device lines, attribution verbs, header names and notice phrases, folded
 # (lower case, each run of characters outside ASCII as ~).
 CLOSINGS = (
@@ -252,7 +254,7 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def foreign_line_numbers(documents: DataFrame) -> DataFrame:
     """message_id, line_no of the lines the sender did not newly write; repeated documents count once."""
     return (
-        documents.select("message_id", "body", "sender")
+        spread(documents.select("message_id", "body", "sender"))
         .mapInArrow(_found, "message_id string, lines array<bigint>")
         .filter(F.size("lines") > 0)
         .groupBy("message_id")
@@ -263,4 +265,4 @@ def foreign_line_numbers(documents: DataFrame) -> DataFrame:
 
 def newly_written(documents: DataFrame) -> DataFrame:
     """message_id, new_text: the body without quotation, signature and notices; one row per input row."""
-    return documents.select("message_id", "body", "sender").mapInArrow(_kept, "message_id string, new_text string")
+    return spread(documents.select("message_id", "body", "sender")).mapInArrow(_kept, "message_id string, new_text string")

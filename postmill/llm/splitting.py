@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postmill.llm.tokens import TOKEN
+from postmill.session import spread
 
 LIMIT, OVERLAP = 512, 64
 PIECE = "doc_id bigint, piece int, pieces int, tokens int, overlap int, core_start bigint, core_end bigint, piece_text string"
@@ -111,4 +112,4 @@ def split_documents(documents: DataFrame, limit: int = LIMIT, overlap: int = OVE
     rows = documents.select("doc_id", "text")
     if not whole:
         rows = rows.filter(F.length("text") > limit)
-    return rows.mapInArrow(kernel, PIECE)
+    return spread(rows).mapInArrow(kernel, PIECE)

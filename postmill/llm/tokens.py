@@ -11,6 +11,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from postmill.session import spread
+
 TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_")
 WORD = re.compile(r"[^\W_]+")
 
@@ -27,4 +29,4 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def token_sizes(documents: DataFrame) -> DataFrame:
     """doc_id, tokens; null and blank texts have none."""
-    return documents.select("doc_id", "text").mapInArrow(_sizes, "doc_id bigint, tokens bigint")
+    return spread(documents.select("doc_id", "text")).mapInArrow(_sizes, "doc_id bigint, tokens bigint")

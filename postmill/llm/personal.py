@@ -210,9 +210,10 @@ def _digit_row(flat: str, a: int, b: int, text: str) -> tuple | None:
     after = flat[b : b + 14]
     plus = 1 if s[0] == "+" else 2 if s.startswith("00") else 3 if s[0] == "0" else 4 if s[0] == "(" else 0
     lead = before.rstrip()
+    phone = len(lead) if lead[-2:] == "l." else max([before.rfind(x) for x in _PHONE_CUES])
+    other = max([before.rfind(x) for x in _ID_CUES])
     return (
-        *own, plus,
-        int(any(x in before for x in _PHONE_CUES) or lead[-2:] == "l."), int(any(x in before for x in _ID_CUES)),
+        *own, plus, int(phone >= 0), int(other >= 0), 0 if phone < 0 and other < 0 else 1 if phone >= other else 2,
         int(bool(lead) and (lead[-1].isalpha() or lead[-1] in "#€$") and bool(_ORDER_CUES.search(lead))),
         int(after.lstrip().startswith(("works", "after", "if the", "when", "erreichbar", "l’apr", "depois", "despu", "apr"))),
         _line_start(text, a),

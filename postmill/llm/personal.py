@@ -60,15 +60,22 @@ OTHER_WORDS = frozenset(
     "le la les un une et de du des je nous vous il elle pour avec sur bonjour salut merci déjà où cordialement bien chers objet "
     "envoyé prend prendra pouvez reste "
     "el los las una y en con por para hola buenos gracias saludos un revisé también quedan puede asunto enviado tomará "
+    "grüßen saludo cordiales abraço attentivement amicalement wrote writes said schrieb schreibt écrivait écrit a escribió escreveu enviada enviado datum date data fecha "
     "o os as um uma e da do das dos em no na com para olá bom boa obrigado verifiquei há assunto cumprimentos".split()
 )
 
 _ODD = re.compile(r"[^\x00-\x7f]+")
+_OTHER = frozenset(_ODD.sub("~", w) for w in OTHER_WORDS)
 _SUFFIX = re.compile(rf"(?:{_ODD.sub('~', ENDINGS)})$")
 _BREAK = re.compile(r"\r?\n(?:[>|\s]|[A-Z]{1,3}(?=>))*")
 _QUOTES = "“”‘’«»„\"'-—–…¡¿☎"
 
 
+def _is_other(low: str) -> bool:
+    """Whether a word in lower case is a function word, garbled or not."""
+    return low in OTHER_WORDS or not low.isascii() and _ODD.sub("~", low) in _OTHER
+
+
 def _name_forms() -> dict[str, int]:
     """Given names in three cases, and the garbled forms of each: to 1 as written, 2 garbled, 3 in lower case."""
     out: dict[str, int] = {}
@@ -261,7 +268,7 @@ def _static(given: str | None, family: str) -> tuple:
         low = family.lower()
         row = _STATIC[key] = (
             GIVEN.get(given, 0) if given else 4, int(bool(_SUFFIX.search(_ODD.sub("~", low)))), _case(family), _case(given) if given else 0,
-            int(low in OTHER_WORDS), min(len(family), 12), int(family in GIVEN), int(not family.isascii()), _plain(family) if len(family) > 3 else "\x00",
+            int(_is_other(low)), min(len(family), 12), int(family in GIVEN), int(not family.isascii()), _plain(family) if len(family) > 3 else "\x00",
         )
     return row
 
@@ -271,7 +278,7 @@ def _name_row(text: str, flat: str, a: int, b: int, given: str | None, family: s
     code, suffix, case, case2, other, size, both, odd, plain = _static(given, family)
     follows = 1 if after.lstrip().startswith("<") else 2 if not after.strip() else 3 if after[:1] in ".,;:)" else 0
     last = before.rstrip()[-1:]
-    starts = 1 if not last else 2 if last in ".!?:,;>|<" else 3 if last in "°º&-/@" else 0
+    starts = 1 if not last else 2 if last in ".!?:,;>|<" else 3 if last in "°º&-/@" or last > "\x7f" and last not in _QUOTES else 0
     header = int(last == ":" and bool(_HEADER.search(before)))
     return (
         code, suffix, case, case2, gap.count("\n"), int("," in gap), reverse, middle, other, int(plain in addresses), header, follows, starts, size, both, odd,
@@ -339,7 +346,7 @@ def name_candidates(
                 x = m.start(4) + w.find(s)
                 b = x + len(s)
                 q = flat[b : b + 2]
-                if len(s) > 1 and s.lower() not in OTHER_WORDS and q[:1] not in ("@", "_") and not q[:1].isdigit() and not (q[:1] == "." and q[1:].isalnum()):
+                if len(s) > 1 and not _is_other(s.lower()) and q[:1] not in ("@", "_") and not q[:1].isdigit() and not (q[:1] == "." and q[1:].isalnum()):
                     gap = text[e : m.start(4)]
                     if gap.count("\n") < 2:
                         yield a, b, _name_row(text, flat, a, b, given, s, gap, 0, int(m.group(2) is not None), addresses)
@@ -351,7 +358,7 @@ def name_candidates(
             j -= comma
             x = flat.rfind(" ", max(0, j - 60), j) + 1
             s = flat[x:j].strip(_QUOTES + "<>|(")
-            if len(s) > 2 and s not in GIVEN and (s[0].isalpha() or s[0] > "\x7f") and s.lower() not in OTHER_WORDS:
+            if len(s) > 2 and s not in GIVEN and (s[0].isalpha() or s[0] > "\x7f") and not _is_other(s.lower()):
                 x = flat.find(s, x)
                 gap = text[x + len(s) : a]
                 if "@" not in s and gap.count("\n") < 2 and s[-1] not in ".:;!?)/>" and (comma or not s[-1].isdigit()):
@@ -363,7 +370,7 @@ def name_candidates(
             continue
         w = m.group(3)
         s = w.strip(_QUOTES)
-        if len(s) > 2 and s.lower() not in OTHER_WORDS:
+        if len(s) > 2 and not _is_other(s.lower()):
             gap = text[a + 2 : m.start(3)]
             b = m.start(3) + w.find(s) + len(s)
             j = a
@@ -375,7 +382,7 @@ def name_candidates(
         j = m.start()
         x = flat.rfind(" ", max(0, j - 60), j) + 1
         s = flat[x:j].strip(_QUOTES + "<>|(")
-        if len(s) > 2 and s[0].isalpha() and s.lower() not in OTHER_WORDS:
+        if len(s) > 2 and s[0].isalpha() and not _is_other(s.lower()):
             x = flat.find(s, x)
             yield x, m.end(), _name_row(text, flat, x, m.end(), None, s, text[j : m.end() - 2], 1, 0, addresses)
     for at in mails:

@@ -133,10 +133,12 @@ class ChangeStore:
         self.spark = spark
         self.path = path or scratch_path(spark, "changes")
         self.runs: list[str] = []
+        self.parts = 0
 
     def append(self, entries: DataFrame, runs: int = 1) -> None:
         """Add ``entries`` as ``runs`` sorted runs of successive batches (by ``batch_no`` if there is one)."""
-        target = f"{self.path}/level0-{len(self.runs):06d}"
+        target = f"{self.path}/level=0/part={self.parts}"
+        self.parts += 1
         split = runs > 1 and "batch_no" in entries.columns
         if split:
             low, high = entries.agg(F.min("batch_no"), F.max("batch_no")).first()
@@ -157,7 +159,8 @@ class ChangeStore:
     def entries(self) -> DataFrame:
         if not self.runs:
             return self.spark.createDataFrame([], ENTRY)
-        return self.spark.read.schema(ENTRY + ", run int").parquet(*self.runs).drop("run")
+        rows = self.spark.read.option("basePath", self.path).schema(ENTRY + ", level int, part int, run int").parquet(*self.runs)
+        return rows.drop("level", "part", "run")
 
     def state(self) -> DataFrame:
         return merge(self.entries())
@@ -177,7 +180,8 @@ class ChangeStore:
             | (F.col("op") == SECOND) & (F.col("seq") == F.col("last_second"))
         )
         kept = rows.join(last, "key").filter(keep).select("key", "seq", "op", "first_set", "second_set").distinct()
-        target = f"{self.path}/level1-{len(self.runs):06d}"
+        target = f"{self.path}/level=1/part={self.parts}"
+        self.parts += 1
         (
             kept.withColumn("run", F.lit(0))
             .repartition("key", F.floor(F.col("seq") / SEGMENT))

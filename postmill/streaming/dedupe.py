@@ -119,7 +119,7 @@ def unique_messages(spark: SparkSession, path: str, **options) -> DataFrame:
         .groupBy("class_id")
         .agg(F.min_by("delivery_id", order).alias("delivery_id"), F.count("*").alias("deliveries"))
     )
-    return messages.join(kept.select("delivery_id", "class_id", "deliveries"), "delivery_id")
+    return messages.drop("class_id", "deliveries").join(kept.select("delivery_id", "class_id", "deliveries"), "delivery_id")
 
 
 def duplicate_pairs(named: DataFrame) -> DataFrame:

@@ -10,8 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def current_messages(deliveries: DataFrame) -> DataFrame:
-    """One row per message id: the delivery with the greatest delivery_id. Combines on the map side, so no id is hot."""
+def current_messages(deliveries: DataFrame, account: str | None = None) -> DataFrame:
+    """One row per message id: the delivery with the greatest delivery_id. Combines on the map side, so no id is hot.
+
+    ``account`` restricts the deliveries before that (an id belongs to one account), so the filter reaches the scan.
+    """
+    if account is not None:
+        deliveries = deliveries.filter(F.col("account_id") == account)
     rest = [c for c in deliveries.columns if c != "id"]
     last = deliveries.filter(F.col("id").isNotNull()).groupBy("id").agg(F.max_by(F.struct(*rest), "delivery_id").alias("m"))
     return last.select("id", "m.*")

@@ -117,7 +117,10 @@ def bm25(rows: DataFrame, phrases: list[list[str]], unwanted: list[list[str]] =
     counts = [occurrences(p).alias(f"f{i}") for i, p in enumerate(phrases)]
     # one pass over the text; what is kept of it are a few numbers a document, and the snippets of the hits
     counted = rows.select("message_id", "account_id", "dl", "body_t", *counts, bad.alias("bad"))
-    counted = materialise(counted.select("message_id", "account_id", "dl", *[f"f{i}" for i in range(len(phrases))], "bad", F.when(hits, snippet([p[0] for p in phrases])).alias("snippet")), "counts")
+    numbers = counted.select(
+        "message_id", F.struct("dl", *[f"f{i}" for i in range(len(phrases))], "bad", "account_id", F.when(hits, snippet([p[0] for p in phrases])).alias("snippet")).alias("x")
+    )
+    counted = materialise(numbers.groupBy("message_id").agg(F.max("x").alias("x")).select("message_id", "x.*"), "counts")  # repeated documents count once
     stats = counted.agg(
         F.count("*"), F.coalesce(F.avg("dl"), F.lit(0.0)), *[F.count_if(F.col(f"f{i}") > 0) for i in range(len(phrases))]
     ).first()

@@ -37,8 +37,8 @@ def query(sql: str | None = None):
     return register
 
 
-def _messages(spark: SparkSession, d: str) -> DataFrame:
-    return listing.current_messages(table(spark, d, "messages"))
+def _messages(spark: SparkSession, d: str, account: str | None = None) -> DataFrame:
+    return listing.current_messages(table(spark, d, "messages"), account)
 
 
 def _mailboxes(spark: SparkSession, d: str) -> DataFrame:
@@ -70,7 +70,7 @@ _PAGE = "id, epoch_us(received_at) as received_at, subject"
 
 
 def _page(spark: SparkSession, d: str, **conditions) -> DataFrame:
-    rows = listing.list_messages(_messages(spark, d), listing.Filter(ACCOUNT, **conditions))
+    rows = listing.list_messages(_messages(spark, d, ACCOUNT), listing.Filter(ACCOUNT, **conditions))
     return rows.select("id", _us("received_at"), "subject")
 
 
@@ -89,17 +89,17 @@ def list_keyset_next(spark, d):
 
 @query(f"with {M} select id from m where account_id = '{ACCOUNT}' and list_contains(mailbox_ids, 'mb:{ACCOUNT}:f01')")
 def list_by_mailbox(spark, d):
-    return _messages(spark, d).filter(listing.condition(listing.Filter(ACCOUNT, mailbox=f"mb:{ACCOUNT}:f01"))).select("id")
+    return _messages(spark, d, ACCOUNT).filter(listing.condition(listing.Filter(ACCOUNT, mailbox=f"mb:{ACCOUNT}:f01"))).select("id")
 
 
 @query(f"with {M} select id from m where account_id = '{ACCOUNT}' and list_contains(keywords, '$flagged')")
 def has_keyword(spark, d):
-    return _messages(spark, d).filter(listing.condition(listing.Filter(ACCOUNT, keywords=("$flagged",)))).select("id")
+    return _messages(spark, d, ACCOUNT).filter(listing.condition(listing.Filter(ACCOUNT, keywords=("$flagged",)))).select("id")
 
 
 @query(f"with {M} select id from m where account_id = '{ACCOUNT}' and not coalesce(list_contains(keywords, '$seen'), false)")
 def lacks_keyword(spark, d):
-    return _messages(spark, d).filter(listing.condition(listing.Filter(ACCOUNT, not_keywords=("$seen",)))).select("id")
+    return _messages(spark, d, ACCOUNT).filter(listing.condition(listing.Filter(ACCOUNT, not_keywords=("$seen",)))).select("id")
 
 
 @query(
@@ -110,14 +110,14 @@ def list_between(spark, d):
     f = listing.Filter(
         ACCOUNT, keywords=("$seen",), not_keywords=("$flagged",), received_after=datetime(2026, 1, 1, tzinfo=timezone.utc), received_before=datetime(2026, 7, 1, tzinfo=timezone.utc)
     )
-    return _messages(spark, d).filter(listing.condition(f)).select("id")
+    return _messages(spark, d, ACCOUNT).filter(listing.condition(f)).select("id")
 
 
-@query(f"with {M} select id, thread_id from m where account_id = '{ACCOUNT}' and thread_id in (select thread_id from m where has_attachment)")
+@query(f"with {M} select id, thread_id from m where account_id = '{ACCOUNT}' and thread_id in (select thread_id from m where has_attachment and account_id = '{ACCOUNT}')")
 def by_thread(spark, d):
     """Messages of the account in threads where something is attached (semi join on the thread)."""
-    m = _messages(spark, d)
-    return m.filter(F.col("account_id") == ACCOUNT).join(m.filter("has_attachment").select("thread_id"), "thread_id", "left_semi").select("id", "thread_id")
+    m = _messages(spark, d, ACCOUNT)
+    return m.join(m.filter("has_attachment").select("thread_id"), "thread_id", "left_semi").select("id", "thread_id")
 
 
 @query(f"with {M} select id, size, array_to_string(list_sort(list_distinct(coalesce(keywords, []))), ',') as keywords from m where id = (select min(id) from m)")
@@ -256,7 +256,7 @@ def _filtered(text: str, sql: str, name: str) -> None:
     def run(spark: SparkSession, d: str) -> DataFrame:
         clauses = parse(text).filters
         named = resolve_mailboxes(_mailboxes(spark, d), ACCOUNT, clauses)
-        return _messages(spark, d).filter(all_of(ACCOUNT, clauses, named)).select("id")
+        return _messages(spark, d, ACCOUNT).filter(all_of(ACCOUNT, clauses, named)).select("id")
 
     QUERIES[name] = run
     SQL[name] = f"with {M}, {B} select id from m where account_id = '{ACCOUNT}' and ({sql})"
@@ -316,12 +316,12 @@ def _text(name: str, text: str) -> None:
     unwanted = [search.phrase_of(c) for c in clauses if c.negated]
 
     def run(spark: SparkSession, d: str) -> DataFrame:
-        hits = search.tokenised(_documents(spark, d).filter(F.col("account_id") == ACCOUNT))
+        hits = search.tokenised(table(spark, d, "search_documents").filter(F.col("account_id") == ACCOUNT))
         for p in wanted:
             hits = hits.filter(search.occurrences(p) > 0)
         for p in unwanted:
             hits = hits.filter(search.occurrences(p) == 0)
-        return hits.select("message_id")
+        return hits.select("message_id").distinct()
 
     QUERIES[name] = run
     SQL[name] = _hits_sql(wanted, unwanted)
@@ -355,7 +355,7 @@ select id, score from r order by score, received_at desc, id desc limit 50"""
 
 
 def _search(spark: SparkSession, d: str, text: str, **options) -> DataFrame:
-    return search.search(text, ACCOUNT, _messages(spark, d), _documents(spark, d), _mailboxes(spark, d), NOW, **options)
+    return search.search(text, ACCOUNT, _messages(spark, d, ACCOUNT), table(spark, d, "search_documents"), _mailboxes(spark, d), NOW, **options)
 
 
 @query(_score_sql([["archive"], ["draft"]], "true", search.RECENCY_WEIGHT))

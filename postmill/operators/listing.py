@@ -17,9 +17,11 @@ def current_messages(deliveries: DataFrame, account: str | None = None) -> DataF
     """
     if account is not None:
         deliveries = deliveries.filter(F.col("account_id") == account)
-    rest = [c for c in deliveries.columns if c != "id"]
-    last = deliveries.filter(F.col("id").isNotNull()).groupBy("id").agg(F.max_by(F.struct(*rest), "delivery_id").alias("m"))
-    return last.select("id", "m.*")
+    rest = [c for c in deliveries.columns if c not in ("id", "delivery_id")]
+    # one aggregate for each column: those a query does not use are pruned, down to the scan
+    return deliveries.filter(F.col("id").isNotNull()).groupBy("id").agg(
+        F.max("delivery_id").alias("delivery_id"), *[F.max_by(c, "delivery_id").alias(c) for c in rest]
+    )
 
 
 def current_mailboxes(mailboxes: DataFrame) -> DataFrame:

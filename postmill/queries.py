@@ -358,6 +358,10 @@ def _search(spark: SparkSession, d: str, text: str, **options) -> DataFrame:
     return search.search(text, ACCOUNT, _messages(spark, d, ACCOUNT), table(spark, d, "search_documents"), _mailboxes(spark, d), NOW, **options)
 
 
+def ranked_search(spark: SparkSession, d: str, text: str) -> DataFrame:
+    return _search(spark, d, text).select("id", "score")
+
+
 @query(_score_sql([["archive"], ["draft"]], "true", search.RECENCY_WEIGHT))
 def search_ranked(spark, d):
     return _search(spark, d, "archive draft").select("id", "score")

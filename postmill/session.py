@@ -14,17 +14,21 @@ from pyspark.sql import DataFrame, SparkSession
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
+#: Folders made where the session names none, by application.
+_OWN: dict[str, str] = {}
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by the session; a temporary one only where none is named (tests, laptops)."""
-    root = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
-    if not root:
+    sc = spark.sparkContext
+    named = spark.conf.get(CHECKPOINT_KEY, None) or sc.getConf().get(CHECKPOINT_KEY) or sc.getCheckpointDir()
+    if named:
+        return named
+    if sc.applicationId not in _OWN:
         local = tempfile.mkdtemp(prefix="postmill-")
         atexit.register(shutil.rmtree, local, ignore_errors=True)
-        root = f"file://{local}"
-        spark.conf.set(CHECKPOINT_KEY, root)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(root)
-    return root
+        _OWN[sc.applicationId] = f"file://{local}"
+    return _OWN[sc.applicationId]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -606,7 +606,7 @@ def refresh(spark, d):
 
 def _changes(spark: SparkSession, d: str) -> DataFrame:
     kinds = F.when(F.col("type") == "message.removed", "destroyed").when(F.col("type") == "message.observed", "created").otherwise("updated")
-    rows = _log(spark, d).filter(F.col("type").startswith("message.") & (F.col("batch_no") <= 40))
+    rows = _log(spark, d).filter(F.col("type").startswith("message."))
     return rows.select(F.col("payload.message_id").alias("provider_id"), kinds.alias("kind"))
 
 

@@ -8,9 +8,8 @@ how deep the trees are.
 
 A group (an account) of at most ``block_nodes`` rows goes whole into a block. A larger one is first cut
 into its trees: pointer doubling, in rounds of shuffle joins, gives every node its top, so a tree of at
-most ``block_nodes`` nodes goes whole into a block. A single tree beyond that bound keeps the root and
-depth that the doubling found (its path, subtree size and descendants are null: they would not fit into
-one task).
+most ``block_nodes`` nodes goes whole into a block. A single tree beyond that bound is never in one task:
+its subtree sizes and paths double as the pointers do, and its descendants are its paths turned round.
 
 Edge cases: null group or node ids are dropped; repeated rows of a node take effect in order of ``rank``
 (the first that names a known parent wins); a node naming itself is a loop; nodes whose way up ends in a
@@ -217,24 +216,56 @@ def hierarchy(links: DataFrame, lists: bool = False, block_nodes: int = BLOCK_NO
         .drop("top")
         .mapInArrow(kernel, schema)
     )
-    named = tops.select(F.col("h").alias("top"), F.col("node_id").alias("root_name"))
-    beyond = (
-        tops.join(giant, "top", "left_semi")
+    placed = small.unionByName(whole)
+    if giant.isEmpty():
+        return placed
+    return placed.unionByName(_beyond(tops.join(giant, "top", "left_semi"), lists))
+
+
+def _beyond(nodes: DataFrame, lists: bool) -> DataFrame:
+    """Trees that fit into no block, by doubling: after k rounds a node has the size of its subtree, and its path, within 2^k steps.
+
+    ``nodes``: whole trees as ``tree_tops`` gives them. The nodes of a loop hand nothing on, as in ``peel``.
+    """
+    nodes = materialise(nodes, "beyond")
+    state = nodes.select(
+        "h", F.when(~F.col("on_loop"), F.col("parent")).alias("up"), F.lit(1).cast("bigint").alias("n"), *([F.array("node_id").alias("path")] if lists else [])
+    )
+    while True:
+        state = materialise(state, "subtrees")
+        moving = state.filter("up is not null")
+        if moving.isEmpty():
+            break
+        more = moving.groupBy(F.col("up").alias("h")).agg(F.sum("n").alias("more"))
+        ahead = state.select(F.col("h").alias("up"), F.col("up").alias("up2"), *([F.col("path").alias("above")] if lists else []))
+        longer = moving.join(ahead, "up").select("h", F.col("up2").alias("up"), "n", *([F.concat("above", "path").alias("path")] if lists else []))
+        state = state.filter("up is null").unionByName(longer).join(more, "h", "left").withColumn("n", F.col("n") + F.coalesce("more", F.lit(0))).drop("more")
+    named = nodes.select(F.col("h").alias("top"), F.col("node_id").alias("root_name"))
+    found = (
+        nodes.join(state, "h")
         .join(named, "top", "left")
         .select(
             "grp",
             "node_id",
             F.when(F.col("loops"), "").otherwise(F.col("root_name")).alias("root_id"),
             F.when(F.col("loops"), F.lit(-1)).otherwise(F.col("depth")).cast("bigint").alias("depth"),
-            F.lit(None).cast("bigint").alias("subtree_size"),
-            *([F.lit(None).cast("array<string>").alias(c) for c in ("path", "descendants")] if lists else []),
+            F.col("n").alias("subtree_size"),
+            *(["path"] if lists else []),
         )
     )
-    return small.unionByName(whole).unionByName(beyond)
+    if not lists:
+        return found
+    none = F.array().cast("array<string>")
+    # a tree in order of its paths is in preorder with siblings in order of their name, as in the blocks
+    ordered = materialise(found.filter("depth >= 0").orderBy("path").withColumn("pos", F.monotonically_increasing_id()), "preorder")
+    pairs = ordered.select("grp", "pos", F.col("node_id").alias("x"), F.explode(F.slice("path", 1, F.size("path") - 1)).alias("node_id"))
+    below = pairs.groupBy("grp", "node_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda p: p["x"]).alias("descendants"))
+    trees = ordered.drop("pos").join(below, ["grp", "node_id"], "left").withColumn("descendants", F.coalesce("descendants", none))
+    return trees.unionByName(found.filter("depth < 0").withColumn("path", none).withColumn("descendants", none))
 
 
 def tree_tops(rows: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """Per node (hash ``h``): its parent, the top of its tree, its depth, and whether its way up ends in a loop.
+    """Per node (hash ``h``): its parent, the top of its tree, its depth, whether its way up ends in a loop and whether it is on one.
 
     Pointer doubling: after k rounds a node points 2^k steps up. Pointers that still move after as many
     rounds as the number of nodes allows are on loops; the least node of a loop then names the tree.
@@ -270,8 +301,13 @@ def tree_tops(rows: DataFrame, max_rounds: int = 40) -> DataFrame:
     # Below a loop, the least node seen on the way is not one name for the whole tree; the loop's own nodes agree
     # on theirs, and after enough rounds every pointer lies on the loop.
     loop = state.filter(~F.col("done")).select(F.col("h").alias("up"), F.col("low").alias("loop_low"))
-    named = state.join(loop, "up", "left").select(
-        "h", F.when(F.col("done"), F.col("up")).otherwise(F.col("loop_low")).alias("top"), F.col("steps").alias("depth"), (~F.col("done")).alias("loops")
+    looped = state.filter(~F.col("done")).select(F.col("up").alias("h"), F.lit(True).alias("on_loop")).distinct()
+    named = state.join(loop, "up", "left").join(looped, "h", "left").select(
+        "h",
+        F.when(F.col("done"), F.col("up")).otherwise(F.col("loop_low")).alias("top"),
+        F.col("steps").alias("depth"),
+        (~F.col("done")).alias("loops"),
+        F.coalesce("on_loop", F.lit(False)).alias("on_loop"),
     )
     return base.join(named, "h")
 

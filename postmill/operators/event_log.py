@@ -45,6 +45,12 @@ def replay_sets(log: DataFrame) -> DataFrame:
     return facets(merge(message_changes(log)))
 
 
+def collected_sets(log: DataFrame) -> DataFrame:
+    """message_id, keywords, mailbox_ids (sorted) of the live messages that have any."""
+    of = lambda facet: F.array_sort(F.collect_set(F.when(F.col("facet") == facet, F.col("value"))))
+    return replay_sets(log).groupBy("message_id").agg(of("keyword").alias("keywords"), of("mailbox").alias("mailbox_ids"))
+
+
 def replay_messages(log: DataFrame) -> DataFrame:
     """Live messages: the fields of their latest observation, account and provider id of the first after the last removal."""
     live = message_changes(log).groupBy("key").agg(F.max(F.when(F.col("op") == "delete", F.col("seq"))).alias("gone"))

@@ -6,6 +6,7 @@ Dates leave as microseconds and sets as joined text, so that both engines print
 from __future__ import annotations
 
 from datetime import datetime, timezone
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from postmill.plans import rules, search
 from postmill.plans.predicates import all_of, resolve_mailboxes
 from postmill.plans.query_language import parse
 from postmill.schemas import value_set
-from postmill.session import table
+from postmill.session import materialise, table
 from postmill.streaming import sync
 
 ACCOUNT = "acc-0001"
@@ -243,10 +244,23 @@ def replay_conflicts(spark, d):
 
 @query()
 def replay_snapshot(spark, d):
+    """All projections: live messages with their sets and thread, the threads of these messages, mailboxes and cursors."""
     log = _log(spark, d)
-    return event_log.snapshot(event_log.replay_mailboxes(log), "mailbox", F.col("mailbox_id")).unionByName(
-        event_log.snapshot(event_log.replay_cursors(log), "cursor", F.concat_ws(":", "account_id", "collection"))
+    live = materialise(event_log.replay_messages(log), "live")
+    m = _messages(spark, d).join(live.select(F.col("message_id").alias("id")), "id", "left_semi")
+    found = materialise(threads.threads(m), "threads")
+    placed = found.select("account_id", "thread_id", F.explode("message_ids").alias("id"))
+    people = listing.participants(m.drop("thread_id").join(placed, ["account_id", "id"]))
+    t = found.join(people, ["account_id", "thread_id"], "left").drop("message_ids")
+    sets = event_log.collected_sets(log)
+    rows = live.join(sets, "message_id", "left").join(placed.withColumnRenamed("id", "message_id"), ["account_id", "message_id"], "left")
+    parts = (
+        event_log.snapshot(rows.withColumn("received_at", _us("received_at")), "message", F.col("message_id")),
+        event_log.snapshot(t.withColumn("last_message_at", _us("last_message_at")), "thread", F.concat_ws(":", "account_id", "thread_id")),
+        event_log.snapshot(event_log.replay_mailboxes(log), "mailbox", F.col("mailbox_id")),
+        event_log.snapshot(event_log.replay_cursors(log), "cursor", F.concat_ws(":", "account_id", "collection")),
     )
+    return reduce(DataFrame.unionByName, parts)
 
 
 # --- filters of the search language -----------------------------------------------------------------------------------

@@ -555,15 +555,15 @@ def found_kinds(documents: DataFrame) -> DataFrame:
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(fitted)
         bits = {k: 1 << i for i, k in enumerate(KINDS)}
-        seen: dict[str, int] = {}
+        seen: dict[tuple, int] = {}  # by text and addresses of the record: both decide
         for b in batches:
             codes = []
             for body, sender, recipients in zip(*(b[f].to_pylist() for f in FIELDS)):
                 code = 0
                 heads = local_parts(sender) + " " + local_parts(recipients)
                 for shift, text in ((0, body), (5, sender), (10, recipients)):
-                    if shift and text in seen:
-                        code |= seen[text] << shift
+                    if shift and (text, heads) in seen:
+                        code |= seen[text, heads] << shift
                         continue
                     own = 0
                     for _, _, kind in judge.spans(text, heads):
@@ -571,7 +571,7 @@ def found_kinds(documents: DataFrame) -> DataFrame:
                     if shift and text:
                         if len(seen) > 200_000:
                             seen.clear()
-                        seen[text] = own
+                        seen[text, heads] = own
                     code |= own << shift
                 codes.append(code)
             yield pa.RecordBatch.from_arrays([b["message_id"], pa.array(codes, pa.int32())], ["message_id", "code"])

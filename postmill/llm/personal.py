@@ -1,14 +1,18 @@
 """Personal information in free text: find it and put typed placeholders in its place.
 
-Candidate gradient boosting. Generators of high recall propose spans that may overlap: addresses with an at
-sign or spelt out, runs of digits, house numbers with a street word, pairs of words or of an initial and a
-word. Boosted trees, one model per kind, judge each candidate by format and context; the thresholds are
-those with the best F1 on held-out rows. Of overlapping spans the most probable stays. The models are
-fitted when first needed, from examples composed in ``personal_training`` (a fixed seed and a fixed number
-of rows), in about a second, on the driver; they go to the workers with the task.
-
-Candidates read over line breaks and quote marks, and the given names are known in their garbled forms
-too. Kinds: email, phone, id_number, street_address, person_name.
+Candidate gradient boosting. Generators of high recall propose spans by their form alone, and the spans may
+overlap: everything around an at sign or spelt out like one, runs of digits, small numbers beside
+capitalised words, every two neighbouring words that are capitalised (with a middle initial, a comma, or one
+line break between), an initial and a word, two words before an address, and pairs in lower case where the
+record's own addresses or a list of given names speak for one of them. No list decides what is proposed
+among capitalised words. Boosted trees, one model per kind, judge each candidate by format and context: the
+shapes of the words, what stands before and after, whether a word also occurs in lower case in the same text,
+whether the record's addresses hold it, and a public list of given names as one feature of many. The
+thresholds are those with the best F1 on rows kept apart. Of overlapping spans the most probable stays. The
+models are fitted when first needed, from examples composed in ``personal_training`` (a fixed seed and a
+fixed number of rows), in a few seconds, on the driver; they go to the workers with the task.
+
+Candidates read over line breaks and quote marks. Kinds: email, phone, id_number, street_address, person_name.
 
 Edge cases: null and empty texts have none; texts of any length are read whole; repeated documents count
 once in ``found_kinds``; other columns are ignored.
@@ -26,47 +30,80 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postmill.llm.boosting import Boosted
-from postmill.llm.garbled import CHAINS, garble
 from postmill.session import spread
 
 KINDS = ("email", "phone", "id_number", "street_address", "person_name")
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "street_address": "[ADDRESS]", "person_name": "[PERSON]"}
 
-# Common given names in English, German, French, Spanish and Portuguese.
-GIVEN_NAMES = (
-    "Alice Ben Carla Derek Edith Emma Felix Fiona George Gwen Harold Helen Iris James John Jonas Keira Laura Lewis Mabel Mary "
-    "Neil Nigel Olive Oliver Percy Peter Rhona Robert Sarah Silas Simon Susan Tamsin Thomas Wilf William "
-    "Anna Anneliese Bärbel Björn Detlef Dieter Günther Götz Hans Heike Heinz Ilse Ingrid Jürgen Karin Klaus Käthe Lüder Märta "
-    "Michael Petra Rüdiger Sabine Stefan Sören Torsten Ulrike Uwe Wolfgang "
-    "Anne-Solène Antoine Aurélie Benoît Cédric Chloé Claire Élodie Étienne Fanny François Gaël Hélène Jacques Jean Jean-Loïc Loïc "
-    "Maëlle Marie Michel Nathalie Noémie Odile Philippe Pierre Régis Solène Sophie Thibaud Zoé "
-    "Alejandro Ana Andrés Antonio Begoña Belén Carlos Carmen Francisco Héctor Inés Íñigo Isabel Javier Jesús Joaquín José Lucía "
-    "Manuel Marisol Miguel Nuria Óscar Pablo Pedro Pilar Ramón Raúl Sofía "
-    "Beatriz Conceição Débora Diogo Gonçalo Inês Íris João Luís Luísa Nuno Paulo Rui Simão Tércio Teresa Tiago Tomé Vânia"
-).split()
-# Endings of family names in these languages, and words that are none though they stand like one.
-ENDINGS = (
-    "worth|combe|ingham|sett|mere|ridge|denby|low|ton|ley|ford|field|wood|son|shaw|well|kamp|hoff|mühler|müller|bächer|städter|"
-    "rögge|wald|mann|stein|berg|bauer|huber|meier|court|rieux|lière|gnac|çon|vêque|âtre|ard|eau|ier|illa|ñez|gora|ñal|rró|uela|"
-    "edo|ez|eira|eirão|haço|hães|oçal|oso|inho"
+# Frequent given names of several countries. One feature of the model; no gate.
+GIVEN_NAMES = frozenset(
+    "James Mary Robert Patricia John Jennifer Michael Linda David Elizabeth William Barbara Richard Susan Joseph Jessica Thomas Sarah "
+    "Charles Karen Daniel Nancy Matthew Lisa Anthony Betty Mark Margaret Paul Sandra Steven Ashley Andrew Emily Kenneth Donna Joshua "
+    "Michelle George Carol Kevin Amanda Brian Melissa Edward Deborah Ronald Stephanie Timothy Rebecca Jason Laura Jeffrey Helen Ryan "
+    "Anna Peter Hans Klaus Jürgen Wolfgang Dieter Manfred Uwe Günter Horst Bernd Ursula Monika Petra Sabine Renate Helga Karin Brigitte "
+    "Andrea Claudia Lukas Leon Jonas Lena Hannah Jean Pierre Jacques Philippe Nicolas Julien Laurent Christophe François Nathalie "
+    "Isabelle Sylvie Catherine Martine Sophie Camille Chloé Antonio José Manuel Francisco Javier Carlos Miguel Rafael Pedro Pablo Carmen "
+    "María Josefa Isabel Dolores Pilar Lucía Paula Marta João Luís Paulo Rui Tiago Nuno Ana Maria Inês Beatriz Teresa Fernanda Marco "
+    "Giulia Luca Giovanni Francesca Erik Lars Sven Ingrid Astrid Anders Olga Ivan Dmitri Katarzyna Piotr Aleksandra Mehmet Ayşe".split()
 )
+# Words that belong to no name, by language: articles, pronouns, prepositions, conjunctions, auxiliaries, what opens
+# and closes a letter, header names, days and months.
 OTHER_WORDS = frozenset(
-    "the a an and or of to in on at by for from with we i if it he she they you this that there could please batch both ticket "
-    "remember nothing after before why best kind all dear hi hello morning thanks cheers regards sent subject cc re field stock "
-    "night site purchasing documentation desk services control planning records office mail gateway billing bot build parcel "
-    "notices team tel phone id text call "
-    "der die das und den dem ein eine ich wir sie es im am für mit von zu bitte übrigens können vorgang viele liebe hallo guten "
-    "gruß grüße mit freundlichen von an betreff gesendet wird hat ist übernimmt schrieb falls diese ende "
-    "le la les un une et de du des je nous vous il elle pour avec sur bonjour salut merci déjà où cordialement bien chers objet "
-    "envoyé prend prendra pouvez reste "
-    "el los las una y en con por para hola buenos gracias saludos un revisé también quedan puede asunto enviado tomará "
-    "grüßen saludo cordiales abraço attentivement amicalement wrote writes said schrieb schreibt écrivait écrit a escribió escreveu enviada enviado datum date data fecha "
-    "o os as um uma e da do das dos em no na com para olá bom boa obrigado verifiquei há assunto cumprimentos".split()
+    (
+        "the a an and or but nor so if then than of to in on at by for from with into about over under after before until since while when "
+        "where why how what which who whom whose that this these those there here it its he his him she her they their them we our us you "
+        "your i my me is are was were be been has have had do does did will would shall should can could may might must not no yes please "
+        "all both each some any nothing everything nobody everybody only also just still again now today tomorrow yesterday dear hi hello "
+        "hey good morning afternoon evening thanks thank regards best kind wishes cheers sincerely yours sent subject cc bcc re fwd date reply "
+        "monday tuesday wednesday thursday friday saturday sunday january february march april june july august september october november december "
+    ).split()
+    + (
+        "der die das den dem des ein eine einen einem einer und oder aber denn wenn falls weil dass von vom zu zum zur im in am an auf aus bei mit "
+        "nach vor für über unter seit bis um ohne gegen durch ich du er sie es wir ihr mich mir uns ihnen mein dein sein unser diese dieser dieses ist "
+        "sind war waren wird werden wurde hat haben kann können soll muss bitte nicht kein keine alle beide auch noch nur schon hier dort heute morgen "
+        "liebe lieber hallo guten tag sehr geehrte geehrter viele beste freundliche freundlichen herzliche grüße gruß grüßen danke betreff gesendet datum "
+        "schrieb schreibt montag dienstag mittwoch donnerstag freitag samstag sonntag januar februar märz mai juni juli oktober dezember nord süd ost"
+    ).split()
+    + (
+        "le la les un une des du de et ou mais donc car si que qui dont où quand comme pour par avec sans sur sous dans chez vers avant après depuis "
+        "je tu il elle nous vous ils elles on mon ma mes son sa ses notre votre leur ce cet cette ces est sont était ont avez merci ne pas plus tous "
+        "toutes déjà encore aussi bonjour bonsoir salut cher chère chers chères cordialement bien objet envoyé écrit lundi mardi mercredi jeudi vendredi "
+        "samedi dimanche janvier février mars avril juin juillet août septembre octobre novembre décembre nord sud ouest"
+    ).split()
+    + (
+        "el los las una unos unas y e o pero porque aunque cuando como para por con sin sobre entre hasta desde hacia según al del su sus mi mis nuestro "
+        "este esta estos estas ese esa es son era fue han ha hay está están no sí ya muy más también todavía hoy ayer mañana hola buenos buenas días "
+        "tardes estimado estimada querido querida gracias saludos saludo cordiales atentamente asunto enviado fecha escribió lunes martes miércoles jueves "
+        "viernes sábado domingo enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre norte oeste"
+    ).split()
+    + (
+        "os as um uma uns umas em no na nos nas ao à aos às do da dos das pelo pela com sem até mas porém quando onde quem seu sua nosso nossa isto isso "
+        "esse essa foi são está estão tem têm há não sim já mais muito também ainda hoje ontem amanhã olá bom boa dia tarde noite caro cara caros obrigado "
+        "obrigada cumprimentos abraço atenciosamente assunto enviada data escreveu segunda terça quarta quinta sexta janeiro fevereiro março maio junho "
+        "julho setembro outubro novembro dezembro norte sul"
+    ).split()
+)
+#: Articles and the like before a word: a name hardly follows them.
+_ARTICLES = frozenset("the a an this that our your der die das den dem des ein eine einem einer unser le la les un une des du ce cette notre votre el los las una del al este esta nuestro o os as um uma do da dos das no na ao esta este im am zum zur vom beim".split())
+# Endings of ordinary derived words, and of frequent family names, in several languages.
+# Words of function mailboxes.
+ROLE_WORDS = frozenset(
+    "team support service services office desk admin administration info information sales billing account accounts bot robot notice notices notification notifications alert "
+    "alerts news newsletter digest list lists monitor system help helpdesk reception booking orders shipping press media jobs careers marketing legal finance webmaster postmaster "
+    "management control center centre department group committee mail mailer postmaster gateway server build updates records customer customers staff parcel delivery purchasing planning "
+    "kundendienst vertrieb buchhaltung büro verwaltung abteilung versand einkauf accueil bureau direction comptabilité achats ventas oficina soporte compras vendas escritório suporte equipe équipe equipo equipa".split()
+)
+_WORD_ENDINGS = re.compile(
+    r"(?:ing|tion|sion|ment|ness|ity|ance|ence|ship|able|ible|ful|less|ous|ive|ly|ies|ics|ers|ings|tions|ments|ung|ungen|heit|keit|schaft|tät|lich|isch|"
+    r"erung|nis|tum|eur|euse|ique|ité|iques|ación|ciones|ción|dad|idad|miento|mente|ções|ção|dade|agem|mento)$"
 )
+_FAMILY_ENDINGS = re.compile(r"(?:son|sen|ton|ley|ford|man|mann|berg|stein|feld|bach|meyer|ez|es|eau|elli|ini|ski|ska|ov|ova|eira|inho|oux|ard|ier|er|er)$")
 
 _ODD = re.compile(r"[^\x00-\x7f]+")
 _OTHER = frozenset(_ODD.sub("~", w) for w in OTHER_WORDS)
-_SUFFIX = re.compile(rf"(?:{_ODD.sub('~', ENDINGS)})$")
+_GIVEN_FOLDED = frozenset(_ODD.sub("~", w.lower()) for w in GIVEN_NAMES if len(_ODD.sub("", w)) > 2)
+_SKIPPED = frozenset(f for w in OTHER_WORDS for f in (w.capitalize(), w.upper()))
+_GIVEN_LOWER = frozenset(w.lower() for w in GIVEN_NAMES)
 _BREAK = re.compile(r"\r?\n(?:[>|\s]|[A-Z]{1,3}(?=>))*")
 _QUOTES = "“”‘’«»„\"'-—–…¡¿☎"
 
@@ -76,67 +113,50 @@ def _is_other(low: str) -> bool:
     return low in OTHER_WORDS or not low.isascii() and _ODD.sub("~", low) in _OTHER
 
 
-def _name_forms() -> dict[str, int]:
-    """Given names in three cases, and the garbled forms of each: to 1 as written, 2 garbled, 3 in lower case."""
-    out: dict[str, int] = {}
-    for name in GIVEN_NAMES:
-        for form, code in ((name, 1), (name.upper(), 1), (name.lower(), 3)):
-            out.setdefault(form, code)
-            if form.isascii():
-                continue
-            out.setdefault(unicodedata.normalize("NFD", form), code)
-            for chain in CHAINS:
-                bad = garble(form, chain)
-                if bad and bad != form and all(c > "\x7f" or c.isalpha() or c in "'-" for c in bad):
-                    out.setdefault(bad, 2)
-    return out
-
-
-GIVEN = _name_forms()
-
 # --- generators -------------------------------------------------------------------------------------------------------
 
 _EMAIL = re.compile(
-    r"[A-Za-z0-9](?:[A-Za-z0-9._%+\-]{0,63}) ?(?:@|\(at\)|\[at\]|\{at\}|<at>| at | arroba | AT ) ?"
-    r"[A-Za-z0-9][A-Za-z0-9\-]*(?:(?:\.| dot | punkt | point | punto | ponto | DOT | ?\(dot\) ?| ?\[dot\] ?)[A-Za-z0-9\-]+)+"
+    r"[A-Za-z0-9](?:[A-Za-z0-9._%+\-]{0,63}) ?(?:@|\((?:at|AT)\)|\[(?:at|AT)\]|\{(?:at|AT)\}|<at>| at | arroba | AT ) ?"
+    r"[A-Za-z0-9][A-Za-z0-9\-]*(?:(?:\.| dot | punkt | point | punto | ponto | DOT | ?\((?:dot|DOT)\) ?| ?\[(?:dot|DOT)\] ?)[A-Za-z0-9\-]+)+"
 )
-_SPELT = ("(at)", "[at]", "{at}", "<at>", " dot ", " DOT ", " arroba ", "(dot)", "[dot]")
+# A text without any of these holds no address spelt out.
+_SPELT = ("at)", "at]", "at}", "<at>", "AT)", "AT]", "dot", "DOT", " arroba ", " punkt ", " point ", " punto ", " ponto ")
 _DIGITS = re.compile(r"\d(?:(?:[ .\-/]|\) ?|\)-| \()?\d){5,}")
-_P = r"[A-ZÀ-Þ\u0080-\U0010ffff][^\s,;:.!?()]*"
-_STREET_EN = re.compile(
-    rf"(?:Flat \d+, +|Apt\.? \d+, +|Unit \d+, +)?\b\d{{1,4}}[a-z]? +(?:{_P} +){{1,3}}(?:Street|Lane|Road|Close|Avenue|Drive|Way|Court|Terrace|"
-    rf"Place|Square|Crescent|Gardens|Row|Hill|Boulevard|Park|Grove|Mews|St\b|Rd\b|Ave\b)"
-)
-_STREET_FR = re.compile(
-    rf"\b\d{{1,4}}(?: ?(?:bis|ter|quater|[a-zA-Z]))?,? +(?:rue|avenue|av\.|chemin|all[^\s]{{1,6}}e|boulevard|bd|place|impasse|quai|route|cours|passage|square|sentier)"
-    rf" +(?:(?:de|des|du|la|le|les|l’|d’|l'|d') *)*{_P}"
+_CAP = r"[A-ZÀ-Þ\u0080-\U0010ffff][^\s,;:.!?()<>@\d]*"
+# Words for streets. English ones follow the name, Romance ones precede it, German ones end it.
+_TYPES_AFTER = frozenset(
+    "street lane road close avenue drive way court terrace place square crescent gardens row hill boulevard park grove mews parkway circle trail "
+    "highway walk alley green view wharf st rd ave blvd ln dr st. rd. ave. blvd.".split()
 )
-_STREET_IB = re.compile(
-    rf"(?:\bC/|\b(?:Calle|Avda\.?|Avenida|Av\.|Plaza|Pza\.?|Paseo|Camino|Ronda|Carrera|Rua|R\.|Travessa|Tv\.|Pra[^\s]{{1,6}}a|Largo|Estrada|Alameda|Beco))"
-    rf" *(?:(?:de|del|da|do|das|dos|la|las|los|el) +)*{_P}(?: +{_P}){{0,3}},? +(?:n[^\s\d]{{1,4}} ?)?\d{{1,4}}[a-z]?\b"
+_TYPES_BEFORE = frozenset(
+    "rue avenue av av. chemin all~e allée boulevard bd bd. place impasse quai route cours passage square sentier faubourg esplanade c/ calle avda avda. avenida plaza "
+    "pza pza. paseo camino ronda carrera glorieta rua r. travessa tv. pra~a praça largo estrada alameda beco ladeira via viale piazza corso vicolo".split()
 )
-_STREET_DE = re.compile(
-    r"\b[A-ZÄÖÜ][A-Za-z\u0080-\U0010ffff\-]*(?:stra[^\s\da-zA-Z]{1,6}e|strasse|str\.|gasse|weg|platz|allee|ufer|damm|steig|graben|chaussee) +\d{1,4} ?[a-z]?\b"
-    r"|\b[A-ZÄÖÜ][a-zäöüß\-]+ (?:Stra[^\s\da-zA-Z]{1,6}e|Strasse|Str\.|Weg|Platz|Allee|Ring|Ufer|Damm) +\d{1,4} ?[a-z]?\b"
-)
-# A text without any of these holds no street of that form.
-_STREETS = (
-    (_STREET_EN, (" Street", " Lane", " Road", " Close", " Avenue", " Drive", " Way", " Court", " Terrace", " Place", " Square", " Crescent", " Gardens", " Row", " Hill", " Boulevard", " Park", " Grove", " Mews", " St.", " St,", " St ", " Rd", " Ave")),
-    (_STREET_FR, (" rue ", " avenue ", " av. ", " chemin ", " allée ", " all\u00c3", " all\u221a", " all\u251c", " all\u0398", " allÈ", " allГ", " boulevard ", " bd ", " place ", " impasse ", " quai ", " route ", " cours ", " passage ", " square ", " sentier ")),
-    (_STREET_IB, ("C/", "Calle ", "Avda", "Avenida ", "Av. ", "Plaza ", "Pza", "Paseo ", "Camino ", "Ronda ", "Carrera ", "Rua ", "R. ", "Travessa ", "Tv. ", "Pra", "Largo ", "Estrada ", "Alameda ", "Beco ")),
-    (_STREET_DE, ("stra", "str. ", "gasse ", "weg ", "platz ", "allee ", "ufer ", "damm ", "steig ", "graben ", "chaussee ", "Stra", "Str. ", "Weg ", "Platz ", "Allee ", "Ring ", "Ufer ", "Damm ")),
-)
+_TYPE_ENDS = re.compile(r"(?:stra(?:~|ß)e|strasse|str\.?|gasse|weg|platz|allee|ufer|damm|steig|graben|chaussee|markt|ring|straat|laan|plein)$")
+_PREPOSED = frozenset("am an im in zum zur auf unter beim hinter".split())
+_PARTICLES = frozenset("de du des la le les del da do das dos los las el der den dem des di della d~ l~ d' l'".split())
+_SMALL = re.compile(r"\d(?<![\w.,/:#\-€$£+].)\d{0,3}(?: ?(?:bis|ter|quater)\b|[a-zA-Z]\b| [a-z]\b(?! ))?(?![\w/:%\-€$£]|[.,]\d)")
+_TOKEN = re.compile(r"[^\s]+")
+_FLAT_PREFIX = re.compile(r"(?:Flat|Apt\.?|Apartment|Unit|Suite) \d+[a-z]?, +$")
 
 # What stands before a phone number, an identity number, and any other number.
-_PHONE_CUES = tuple("tel|t:|t :|phone|ring |text |call|mobil|fax|anruf|ruf |unter|joignable|appel|llam|fono|fone|lig|☎|cell|sms|handy|reach".split("|"))
+_PHONE_CUES = tuple("tel|t:|t :|phone|ring |text |call|mobil|fax|anruf|ruf |unter|joignable|appel|llam|fono|fone|lig|☎|cell|sms|whats|handy|reach|dial|durchwahl|móvil|telem".split("|"))
 _ID_CUES = tuple(
-    "id |id:|social|insurance|national|passport|badge|asked for|tax|steuer|formular|ausweis|rentenvers|curit|dossier :|dni|nie |nif|alta:|"
-    "ficha:|documento|contribuinte|cidad|identi|for the form|fiscal|ssn|personal".split("|")
+    "id |id:|identi|social|insurance|national|passport|ssn|tax |fiscal|steuer|ausweis|sozialvers|rentenvers|versicherungs|curit|insee|"
+    "dni|nie |nif|nss|documento|contribuinte|cidad|personal|licen|pass-nr|pesel|bsn".split("|")
+)
+_ORDER_CUES = re.compile(
+    r"(?:lot|ticket|order|batch|part|item|#|version|release|invoice|account|room|page|vorgang|nummer|nr\.|no\.|auftrag|rechnung|bestellung|expediente|pedido|factura|"
+    r"dossier|commande|facture|processo|encomenda|fatura|n.{1,4}mero|num.{1,4}ro|number|€|\$|£|rows|units)\W*$"
 )
-_ORDER_CUES = re.compile(r"(?:lot|ticket|order|batch|#|version|invoice|vorgang|nummer|expediente|dossier|processo|n.{1,4}mero|num.{1,4}ro|€|\$|rows|units)\W*$")
-_MAILTO_CUES = re.compile(r"(?:\bsee|\bref|message-id|in-reply-to|references|siehe|voir|v.{1,4}ase|ver|vide|id)\W*$", re.I)
+_MAILTO_CUES = re.compile(r"(?:\bsee|\bref|message-id|in-reply-to|references|siehe|voir|v.{1,4}ase|ver|vide|id|cf)\W*$", re.I)
 
-_IN_WORDS = re.compile(r"[^\W\d_]+")
+
+def _has(text: str, marks: tuple[str, ...]) -> bool:
+    for m in marks:
+        if m in text:
+            return True
+    return False
 
 
 def _flat(text: str) -> str:
@@ -220,7 +240,7 @@ def _digit_row(flat: str, a: int, b: int, text: str) -> tuple | None:
     phone = len(lead) if lead[-2:] == "l." else max([before.rfind(x) for x in _PHONE_CUES])
     other = max([before.rfind(x) for x in _ID_CUES])
     return (
-        *own, plus, int(phone >= 0), int(other >= 0), 0 if phone < 0 and other < 0 else 1 if phone >= other else 2,
+        *own, plus, int(lead[-1:] == ":"), int(phone >= 0), int(other >= 0), 0 if phone < 0 and other < 0 else 1 if phone >= other else 2,
         int(bool(lead) and (lead[-1].isalpha() or lead[-1] in "#€$") and bool(_ORDER_CUES.search(lead))),
         int(after.lstrip().startswith(("works", "after", "if the", "when", "erreichbar", "l’apr", "depois", "despu", "apr"))),
         _line_start(text, a),
@@ -228,19 +248,157 @@ def _digit_row(flat: str, a: int, b: int, text: str) -> tuple | None:
     )
 
 
-def _street_row(flat: str, a: int, b: int) -> tuple:
-    s, before = flat[a:b], flat[max(0, a - 20) : a]
-    words = s.split()
-    lead = int(s[0].isdigit() or s.startswith(("Flat", "Apt", "Unit")))
-    number = re.search(r"\d+", s)
+def _street_row(flat: str, a: int, b: int, kind: int, words: int, number: str) -> tuple:
+    """``kind``: 0 no street word, 1 one after the name, 2 one before it, 3 one that ends the name, 4 a preposition before the name."""
+    s, before, after = flat[a:b], flat[max(0, a - 24) : a], flat[b : b + 4]
+    lead = before.rstrip()
+    last = lead[lead.rfind(" ") + 1 :].lower()
+    months = int(any(_is_other(w.strip(".,").lower()) for w in s.split() if w[0].isalpha() and w.lower() not in _PARTICLES and w.lower() not in _PREPOSED))
     return (
-        lead, min(6, len(words)), len(number.group()) if number else 0, int(bool(re.search(r"[A-ZÀ-Þ]", s))),
-        int(bool(re.search(r"\d[a-z]?$", s))), int(before.rstrip()[-1:] in ",:"), int(bool(_ORDER_CUES.search(before.lower()))),
-        int(bool(re.search(r"\b(?:quai|place|cours|ring|weg|Way|Park|passage|Row|Hill)\b", s))), int("," in s),
-        int(bool(re.match(r"\W*(?:\d{4,5}|[A-ZÀ-Þ])", flat[b : b + 4]))),
+        kind, int(s[0].isdigit() or s.startswith(("Flat", "Apt", "Unit", "Suite"))), min(6, words), len(number), int(not s[-1].isdigit() and s[-2:-1].isdigit()),
+        0 if not lead else 1 if lead[-1] in ",:" else 2 if lead[-1] in ".!?>|" else 3, int(last in _ARTICLES), int(last in _PLACE_WORDS),
+        int(bool(_ORDER_CUES.search(lead.lower()))), int(bool(re.match(r"[,\s]*(?:\d{4,5}\b|[A-ZÀ-Þ])", after))), int(after[:1] == ","), int("," in s), months, int(number[0] == "0"),
+        int(any(len(w) > 1 and w.isupper() for w in s.split())), int(bool(re.match(r" +\d", after))),
     )
 
 
+#: Words that say where something is, before an address.
+_PLACE_WORDS = frozenset("at to in address live lives adresse wohnt wohne nach an auf en au à em na no a calle domicilio morada dirección demeure habite sede".split())
+
+
+_SIGNS = frozenset("€°£–—“”„«»’‘…•§")
+
+
+def _digits_of(number: str) -> str:
+    return number[: 4 if number[:4].isdigit() else 3 if number[:3].isdigit() else 2 if number[:2].isdigit() else 1]
+
+
+def street_candidates(flat: str, text: str) -> Iterator[tuple[int, int, tuple]]:
+    """(start, end, features) of small numbers with the capitalised words after or before them; at most one line break between."""
+    for m in _SMALL.finditer(flat):
+        a, b = m.span()
+        k = b + 1 if flat[b : b + 1] == "," else b
+        if flat[k : k + 1] == " ":
+            while flat[k : k + 1] == " ":
+                k += 1
+            c = flat[k : k + 1]
+            if c and (c.isupper() or c > "\x7f" and c not in _SIGNS or c in "rabpqcesif" and _folded(flat[k : flat.find(" ", k)]) in _TYPES_BEFORE):
+                got = _after_number(flat, b)
+                if got is not None:
+                    end, kind, words = got
+                    lead = _FLAT_PREFIX.search(flat, max(0, a - 24), a) if flat[a - 2 : a] == ", " else None
+                    start = lead.start() if lead else a
+                    if text.count("\n", start, end) < 2:
+                        yield start, end, _street_row(flat, start, end, kind, words, _digits_of(m.group()))
+        if flat[a - 1 : a] == " ":
+            j = a - 1
+            while j and flat[j - 1] == " ":
+                j -= 1
+            c = flat[flat.rfind(" ", max(0, j - 60), j) + 1 : j][:1]
+            if c and (c.isupper() or c > "\x7f" and c not in _SIGNS or c == "n"):
+                got = _before_number(flat, a)
+                if got is not None:
+                    start, kind, words = got
+                    if text.count("\n", start, b) < 2:
+                        b -= flat[b - 1] == " "
+                        yield start, b, _street_row(flat, start, b, kind, words, _digits_of(m.group()))
+
+
+def _capital(w: str) -> bool:
+    return w[0].isupper() or w[0] > "\x7f" and w[0] not in _QUOTES
+
+
+def _folded(w: str) -> str:
+    if w.isascii():
+        return w.lower()
+    return _ODD.sub("~", w).lower()
+
+
+def _after_number(flat: str, b: int) -> tuple[int, int, int] | None:
+    """End, kind and number of words of a street whose number ends at ``b``."""
+    if flat[b : b + 1] == ",":
+        b += 1
+    if flat[b : b + 1] != " ":
+        return None
+    window = flat[b : b + 90]
+    words = [(x.group(), b + x.start()) for x in _TOKEN.finditer(window)][:7]
+    if not words:
+        return None
+    first = _folded(words[0][0])
+    if first in _TYPES_BEFORE and len(words) > 1:
+        for w, at in words[1:]:
+            if _capital(w) or "’" in w or "'" in w:
+                core = w.rstrip(".,;:!?)>")
+                return at + len(core), 2, 2
+            if _folded(w) not in _PARTICLES:
+                return None
+        return None
+    caps = 0
+    end = b
+    for w, at in words[:5]:
+        core = w.rstrip(".,;:!?)>")
+        if len(core) < 2 or core[0] in "°º" or not _capital(core) or any(c.isdigit() or c in "@<°" for c in core):
+            break
+        caps += 1
+        end = at + len(core)
+        if caps > 1 and _folded(core) in _TYPES_AFTER:
+            return end, 1, caps
+        if len(core) < len(w) and (w[len(core)] != "." or core.lower() not in ("st", "ste", "mt", "dr")):
+            break
+    return (end, 0, caps) if caps else None
+
+
+def _before_number(flat: str, a: int) -> tuple[int, int, int] | None:
+    """Start, kind and number of words of a street whose number begins at ``a``."""
+    j = a
+    while j and flat[j - 1] == " ":
+        j -= 1
+    if j == a:
+        return None
+    marker = re.search(r"(?:,? n[^\s\d]{1,4})$", flat[max(0, j - 8) : j])
+    if marker and marker.group().strip(" ,")[-1:] in "ºo°.~Âr" or marker and not marker.group().isascii():
+        j -= len(marker.group())
+    if flat[j - 1 : j] == ",":
+        j -= 1
+    low = max(0, j - 70)
+    words = [(x.group(), low + x.start()) for x in _TOKEN.finditer(flat[low:j])][-6:]
+    if not words:
+        return None
+    if low and words[0][1] == low:
+        words = words[1:]
+    taken: list[tuple[str, int]] = []
+    for w, at in reversed(words):
+        if taken and w[-1] in ".,;:!?>)" and _folded(w) not in _TYPES_BEFORE and not _TYPE_ENDS.search(_folded(w)):
+            break
+        taken.insert(0, (w, at))
+        if _folded(w).lstrip("(\"'") in _TYPES_BEFORE or w.startswith("C/"):
+            break
+    if not taken:
+        return None
+    for k in range(len(taken)):
+        w, at = taken[k]
+        if (_folded(w) in _TYPES_BEFORE and len(taken) > k + 1 or w.startswith("C/") and (len(w) > 2 or len(taken) > k + 1)) and any(_capital(x) for x, _ in taken[k + 1 :] or [("C", 0)]):
+            return at, 2, len(taken) - k
+    w, at = taken[-1]
+    if not _capital(w) or not (w[0].isalpha() or w[0] > "\x7f") or any(c.isdigit() or c in "@<>" for c in w):
+        return None
+    bare = _folded(w)
+    if _TYPE_ENDS.search(bare):
+        alone = bare.rstrip(".") in ("straße", "stra~e", "strasse", "str", "gasse", "weg", "platz", "allee", "ring", "ufer", "damm", "steig", "graben", "markt")
+        if alone and len(taken) > 1 and (_capital(taken[-2][0]) or taken[-2][0].lower() in _PREPOSED):
+            return taken[-2][1], 3, 2
+        return at, 0 if alone else 3, 1
+    if len(taken) > 1:
+        w2, at2 = taken[-2]
+        if w2.lower() in _PREPOSED:
+            return at2, 4, 2
+        if w2.lower() in _PARTICLES and len(taken) > 2 and taken[-3][0].lower() in _PREPOSED:
+            return taken[-3][1], 4, 3
+        if _capital(w2) and w2[0].isalpha() and not _is_other(w2.lower()):
+            return at2, 0, 2
+    return at, 0, 1
+
+
 def _case(word: str) -> int:
     letters = [c for c in word if c.isalpha()]
     if not letters:
@@ -254,145 +412,191 @@ def _plain(word: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", word.lower()) if c < "\x80")
 
 
-_HEADER = re.compile(r"(?:^|\s)(?:from|to|cc|von|an|de|para|à|[^\s:]{2,6}) ?: ?$", re.I)
-_STATIC: dict[tuple, tuple] = {}
+_STATIC: dict[str, tuple] = {}
 
 
-def _static(given: str | None, family: str) -> tuple:
-    """Features of the two words alone."""
-    key = (given, family)
-    row = _STATIC.get(key)
+def _word(w: str) -> tuple:
+    """Features of one word alone: listed given name, ending, case, length, function word, outside ASCII; and its plain form."""
+    row = _STATIC.get(w)
     if row is None:
-        if len(_STATIC) > 200_000:
+        if len(_STATIC) > 300_000:
             _STATIC.clear()
-        low = family.lower()
-        row = _STATIC[key] = (
-            GIVEN.get(given, 0) if given else 4, int(bool(_SUFFIX.search(_ODD.sub("~", low)))), _case(family), _case(given) if given else 0,
-            int(_is_other(low)), min(len(family), 12), int(family in GIVEN), int(not family.isascii()), _plain(family) if len(family) > 3 else "\x00",
+        low = w.lower()
+        folded = _ODD.sub("~", low)
+        ending = 3 if low in ROLE_WORDS else 1 if _WORD_ENDINGS.search(low) else 2 if _FAMILY_ENDINGS.search(low) else 0
+        row = _STATIC[w] = (
+            int(w in GIVEN_NAMES or folded in _GIVEN_FOLDED), ending, _case(w), min(len(w), 12), int(_is_other(low)), int(not w.isascii()), _plain(w), low, folded,
         )
     return row
 
 
-def _name_row(text: str, flat: str, a: int, b: int, given: str | None, family: str, gap: str, reverse: int, middle: int, addresses: set[str]) -> tuple:
-    before, after = flat[max(0, a - 10) : a], flat[b : b + 3]
-    code, suffix, case, case2, other, size, both, odd, plain = _static(given, family)
-    follows = 1 if after.lstrip().startswith("<") else 2 if not after.strip() else 3 if after[:1] in ".,;:)" else 0
-    last = before.rstrip()[-1:]
-    starts = 1 if not last else 2 if last in ".!?:,;>|<" else 3 if last in "°º&-/@" or last > "\x7f" and last not in _QUOTES else 0
-    header = int(last == ":" and bool(_HEADER.search(before)))
-    return (
-        code, suffix, case, case2, gap.count("\n"), int("," in gap), reverse, middle, other, int(plain in addresses), header, follows, starts, size, both, odd,
-    )
+class Context:
+    """What the features of names look up in one text: words in lower case, address pieces, header words of the record."""
 
+    def __init__(self, text: str, flat: str, addresses: set[str], locals_: str, marks: set[int], book: frozenset[str]) -> None:
+        self.text, self.flat, self.addresses, self.locals, self.book = text, flat, addresses, locals_, book
+        self.marks = marks  # ends of what stands right before an address
+        self.low = frozenset(flat.split(" "))  # also the words as they stand, so in lower case where they are
 
-_AUTOMATON = None
-_SPELT_MARK = 100
+    def known(self, plain: str) -> int:
+        """2 if an address of the record has this piece, 1 if one only begins or goes on with it."""
+        if len(plain) < 3:
+            return 0
+        return 2 if plain in self.addresses else 1 if plain in self.locals else 0
 
 
-def _automaton():
-    """Finds all given names, street words and spelt-out at signs of a text in one pass; built once in a process."""
-    global _AUTOMATON
-    if _AUTOMATON is None:
-        import ahocorasick
+_HEADER = re.compile(r"(?:^|\s)(?:from|to|cc|bcc|von|an|de|para|à|da|kopie|copie|copia|[^\x00-\x7f:\s]{1,4}) ?: ?$", re.I)
+_SPEAKING = re.compile(r"(?i)(?:\s(?:said|says|wrote|writes|asked|schrieb|schreibt|sagte|a écrit|écrit|écrivait|dit|escribió|escribe|dijo|escreveu|escreve|disse)|[^\S\n]*:)(?![^\W\d_])")
 
-        _AUTOMATON = ahocorasick.Automaton()
-        for form in GIVEN:
-            _AUTOMATON.add_word(form, (0, len(form)))
-        for k, (_, hints) in enumerate(_STREETS, 1):
-            for hint in hints:
-                _AUTOMATON.add_word(hint, (k, len(hint)))
-        for mark in _SPELT:
-            _AUTOMATON.add_word(mark, (_SPELT_MARK, len(mark)))
-        _AUTOMATON.make_automaton()
-    return _AUTOMATON
+
+def _name_row(c: Context, a: int, b: int, given: str | None, family: str, gap: str, reverse: int, middle: int, mark: int) -> tuple:
+    flat, text = c.flat, c.text
+    g = _word(given) if given is not None else None
+    f = _word(family)
+    j = a - 1
+    while j >= 0 and flat[j] == " ":
+        j -= 1
+    last = flat[j] if j >= 0 else ""
+    previous = flat[flat.rfind(" ", max(0, j - 40), j + 1) + 1 : j + 1] if j >= 0 else ""
+    low = previous.strip(_QUOTES + "(").lower()
+    after = flat[b : b + 14]
+    rest = after.lstrip()
+    head = rest[:1]
+    follows = 1 if head == "<" or mark else 2 if not head else 3 if after[0] in ".,;:)!?" else 4 if head.islower() else 5 if head.isupper() else 6
+    line_end = int(text[b : b + 3].lstrip(" \r>")[:1] in ("", "\n"))
+    starts = 1 if not last else 2 if last in ".!?:;>|<" else 3 if last == "," else 4 if last in "°º&-/@" or last > "\x7f" and last not in _QUOTES else 0
+    line = text.rfind("\n", max(0, a - 20), a)
+    line_start = int((line >= 0 or a < 20) and not text[line + 1 if line >= 0 else 0 : a].strip(" >|\t"))
+    header = 0 if last != ":" else 1 if _HEADER.search(flat, max(0, a - 40), a) else 2
+    wrapped = 0
+    if "\n" in gap:
+        at = text.rfind("\n", 0, a)
+        wrapped = 1 if text.find("\n", a) - at > 48 else 2
+    comma = int("," in gap)
+    return (
+        4 if g is None else g[0], f[0], 0 if g is None else g[1], f[1], 0 if g is None else g[2], f[2], min(3, f[3] // 2) if f[3] < 8 else 4, f[4] + 2 * (g[4] if g else 0),
+        f[5] + 2 * (g[5] if g else 0), wrapped, comma, reverse, middle, follows, line_end, starts, line_start, header,
+        0 if last in ".!?:;,>|" else 1 if low in _ARTICLES else 2 if previous[:1].islower() else 3 if previous[:1].isupper() else 0, int(_is_other(low)) if low else 0,
+        c.known(f[6]), 0 if g is None else c.known(g[6]), int(f[7] in c.low), 0 if g is None else int(g[7] in c.low), mark, int((after[:1] == " " or after[:1] == ":") and bool(_SPEAKING.match(after))),
+        int(f[8] in c.book) + 2 * int(g is not None and g[8] in c.book), 0 if g is None else min(3, g[3] // 3), int(family.find("-") > 0 or given is not None and given.find("-") > 0),
+    )
 
 
 _W = r"[A-Za-z\u0080-\U0010ffff][A-Za-z\u0080-\U0010ffff'\-]*"
-_NEXT = re.compile(rf"( {{1,40}})(?:([A-Z])\.( {{1,40}}))?({_W})")
-_INITIAL_AFTER = re.compile(r", ?[A-Z]\.(?![A-Za-z])")
-_INITIAL = re.compile(rf"([A-Z])\.( {{1,40}})({_W})")
-_PAIR_BEFORE = re.compile(rf"({_W})( | {{0,2}}, )({_W}) <?$")
-_LETTERS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789'-_@")
+_CHARS = r"A-Za-z\u0080-\U0010ffff'\-"
+#: A word that begins like a name and has another such word, or an initial, after it; and what may come there.
+_FIRST = re.compile(rf"[A-Z\u0080-\U0010ffff](?<![A-Za-z0-9'\-_@/.À-ɏ].)(?:\.(?= +[A-Z\u0080-\U0010ffff])|[{_CHARS}]*(?=(?: |,)(?: *[A-Z\u0080-\U0010ffff])))")
+_SECOND = re.compile(rf"( {{1,40}}|, {{0,40}})(?:([A-Z])\.( {{1,40}}))?(?:([A-Z\u0080-\U0010ffff][{_CHARS}]+)|([A-Z])\.(?![A-Za-z]))")
+_PAIR_BEFORE = re.compile(rf"({_W})( | {{0,2}}, )(?:[A-Z]\. )?({_W}) [<(]?$")
+_LOWER_NEXT = re.compile(r"(?: {1,40}|, {1,40})([a-z\u0080-\U0010ffff][a-z\u0080-\U0010ffff'\-]{2,})(?![A-Za-z0-9_@/À-ɏ]|\.\w)")
 
 
-def name_candidates(
-    text: str, flat: str, addresses: set[str], mails: list[int], given_at: list[tuple[int, int]]
-) -> Iterator[tuple[int, int, tuple]]:
+def _trimmed(w: str, at: int) -> tuple[str, int]:
+    """The word without quotes around it, and its place."""
+    s = w.strip(_QUOTES)
+    return s, at + (w.find(s) if s else 0)
+
+
+def name_candidates(c: Context, mails: list[int]) -> Iterator[tuple[int, int, tuple]]:
     """(start, end, features) of pairs of words, or of an initial and a word, that could be a person's name.
 
-    Around every given name (``given_at``): the word after it (a middle initial between), the word before it;
-    an initial and the word after or before it; the two words before an address (starts in ``mails``). At most
-    one line break between. Function words are never part of a name.
+    Every two neighbouring words that begin with a capital, or with a character outside ASCII as a garbled
+    capital may (a middle initial or a comma between); an initial and a word, in both orders; the two words
+    before an address (starts in ``mails``); words in lower case beside a listed given name or a word of one
+    of the record's addresses. At most one line break between. Function words are never part of a name.
     """
+    flat, text = c.flat, c.text
     n = len(flat)
-    hits = []
-    for a, e in given_at:
-        if a:
-            p = flat[a - 1]
-            if p in _LETTERS or p in "./" or p > "\x7f" and p not in _QUOTES:
+    seen: set[tuple[int, int]] = set()
+    for m in _FIRST.finditer(flat):
+        w = m.group()
+        if w in _SKIPPED:
+            continue
+        k = _SECOND.match(flat, m.end())
+        if k is None:
+            continue
+        gap, middle, _, second, after = k.groups()
+        a = m.start()
+        initial = w[1:] == "."
+        if initial:
+            if not w[0].isupper() or gap[0] == "," or middle or second is None or a and flat[a - 1] in "°º":
                 continue
-        if e < n:
-            q = flat[e]
-            if q in _LETTERS and q != "'" or q > "\x7f" and q not in _QUOTES or q == "." and flat[e + 1 : e + 2].isalnum():
+            first = None
+        else:
+            first, a = _trimmed(w, a)
+            if len(first) < 2 or a + len(first) != m.end() or "a" <= first[0] <= "z" or _word(first)[4]:
                 continue
-        hits.append((a, e))
-    for a, e in hits:
-        given = flat[a:e]
-        if e < n and flat[e] == " ":
-            m = _NEXT.match(flat, e)
-            if m:
-                w = m.group(4)
-                s = w.strip(_QUOTES)
-                x = m.start(4) + w.find(s)
-                b = x + len(s)
-                q = flat[b : b + 2]
-                if len(s) > 1 and not _is_other(s.lower()) and q[:1] not in ("@", "_") and not q[:1].isdigit() and not (q[:1] == "." and q[1:].isalnum()):
-                    gap = text[e : m.start(4)]
-                    if gap.count("\n") < 2:
-                        yield a, b, _name_row(text, flat, a, b, given, s, gap, 0, int(m.group(2) is not None), addresses)
-        if a > 2 and flat[a - 1] == " ":
-            j = a
-            while j and flat[j - 1] == " ":
-                j -= 1
-            comma = flat[j - 1 : j] == ","
-            j -= comma
-            x = flat.rfind(" ", max(0, j - 60), j) + 1
-            s = flat[x:j].strip(_QUOTES + "<>|(")
-            if len(s) > 2 and s not in GIVEN and (s[0].isalpha() or s[0] > "\x7f") and not _is_other(s.lower()):
-                x = flat.find(s, x)
-                gap = text[x + len(s) : a]
-                if "@" not in s and gap.count("\n") < 2 and s[-1] not in ".:;!?)/>" and (comma or not s[-1].isdigit()):
-                    yield x, e, _name_row(text, flat, x, e, given, s, gap, 1, 0, addresses)
-    given_ends = {e for _, e in hits}
-    for m in _INITIAL.finditer(flat):
-        a = m.start()
-        if a and (flat[a - 1].isalnum() or flat[a - 1] == "-"):
+        if second is None:  # a family name, a comma and an initial
+            if gap[0] == "," and middle is None:
+                b = k.end()
+                yield a, b, _name_row(c, a, b, None, first, text[m.end() : b - 2], 1, 0, 0)
             continue
-        w = m.group(3)
-        s = w.strip(_QUOTES)
-        if len(s) > 2 and not _is_other(s.lower()):
-            gap = text[a + 2 : m.start(3)]
-            b = m.start(3) + w.find(s) + len(s)
-            j = a
-            while j and flat[j - 1] == " ":
-                j -= 1
-            if gap.count("\n") < 2 and flat[b : b + 1] != "@" and j not in given_ends:
-                yield a, b, _name_row(text, flat, a, b, None, s, gap, 0, 0, addresses)
-    for m in _INITIAL_AFTER.finditer(flat):
-        j = m.start()
-        x = flat.rfind(" ", max(0, j - 60), j) + 1
-        s = flat[x:j].strip(_QUOTES + "<>|(")
-        if len(s) > 2 and s[0].isalpha() and not _is_other(s.lower()):
-            x = flat.find(s, x)
-            yield x, m.end(), _name_row(text, flat, x, m.end(), None, s, text[j : m.end() - 2], 1, 0, addresses)
+        if second in _SKIPPED:
+            continue
+        second, x = _trimmed(second, k.start(4))
+        if len(second) < 2 or "a" <= second[0] <= "z" or _word(second)[4]:
+            continue
+        b = x + len(second)
+        q = flat[b : b + 2]
+        if q[:1] in ("@", "_") or q[:1].isdigit() or q[:1] == "." and q[1:].isalnum():
+            continue
+        gap = text[m.end() : x]
+        lines = gap.count("\n")
+        if lines > 1 or lines and middle or initial and len(second) < 3:
+            continue
+        seen.add((a, b))
+        mark = int(b in c.marks)
+        if gap[0] == ",":
+            yield a, b, _name_row(c, a, b, second, first, gap, 1, 0, mark)
+        else:
+            yield a, b, _name_row(c, a, b, first, second, gap, 0, int(middle is not None), mark)
     for at in mails:
         m = _PAIR_BEFORE.search(flat, max(0, at - 70), at)
-        if m and "\n" not in text[m.start() : m.end()]:
-            s, s2 = m.group(1), m.group(3)
-            if s not in GIVEN and s2 not in GIVEN and s[0].isupper() and s2[0].isupper():
-                first = s2 if "," in m.group(2) else s
-                rest = s if "," in m.group(2) else s2
-                yield m.start(1), m.end(3), _name_row(text, flat, m.start(1), m.end(3), first, rest, m.group(2), int("," in m.group(2)), 0, addresses)
+        if m and (m.start(1), m.end(3)) not in seen:
+            s, a = _trimmed(m.group(1), m.start(1))
+            s2, x = _trimmed(m.group(3), m.start(3))
+            gap = text[a + len(s) : x]
+            if len(s) > 1 and len(s2) > 1 and gap.count("\n") < 2 and not _word(s)[4] and not _word(s2)[4]:
+                comma = "," in gap
+                b = x + len(s2)
+                seen.add((a, b))
+                yield a, b, _name_row(c, a, b, s2 if comma else s, s if comma else s2, gap, int(comma), 0, 1)
+    for w in sorted((c.low & c.book) | (c.low & c.addresses) | (c.low & _GIVEN_LOWER)):
+        if len(w) < 3 or _word(w)[4] or _word(w)[1] == 3 or not ("a" <= w[0] <= "z" or w[0] > "\x7f"):
+            continue
+        at = flat.find(w)
+        while at >= 0:
+            end = at + len(w)
+            if (at == 0 or flat[at - 1] in " (\"'>“„«") and flat[end : end + 1] in _LOWER_ENDS:
+                for other, x in _lower_beside(flat, at, end):
+                    a, b = (at, x + len(other)) if x > at else (x, end)
+                    gap = text[end:x] if x > at else text[x + len(other) : at]
+                    if (a, b) not in seen and gap.count("\n") < 2:
+                        seen.add((a, b))
+                        first, second = (w, other) if x > at else (other, w)
+                        comma = "," in gap
+                        yield a, b, _name_row(c, a, b, second if comma else first, first if comma else second, gap, int(comma), 0, int(b in c.marks))
+            at = flat.find(w, end)
+
+
+_LOWER_ENDS = frozenset(["", *" ,.:;)!?"])
+
+
+def _lower_beside(flat: str, at: int, end: int) -> Iterator[tuple[str, int]]:
+    """The words in lower case, no function words, right after and right before a word."""
+    m = _LOWER_NEXT.match(flat, end)
+    if m and not _word(m.group(1))[4]:
+        yield m.group(1), m.start(1)
+    j = at
+    while j and flat[j - 1] == " ":
+        j -= 1
+    if at - 40 < j < at:
+        if flat[j - 1 : j] == ",":
+            j -= 1
+        k = flat.rfind(" ", max(0, j - 40), j) + 1
+        other = flat[k:j].lstrip(_QUOTES + "(>")
+        if len(other) > 2 and ("a" <= other[0] <= "z" or other[0] > "\x7f") and other.replace("-", "").isalpha() and not _word(other)[4]:
+            yield other, j - len(other)
 
 
 def _mail_starts(flat: str) -> list[tuple[int, int]]:
@@ -446,8 +650,8 @@ def _number_spans(flat: str, text: str) -> Iterator[tuple[int, int]]:
         yield a, b
 
 
-def candidates(text: str, record: str = "") -> Iterator[tuple[str, int, int, tuple]]:
-    """(kind, start, end, features); ``record``: local parts of the record's other addresses, which count as context."""
+def candidates(text: str, record: str = "", book: frozenset[str] = frozenset()) -> Iterator[tuple[str, int, int, tuple]]:
+    """(kind, start, end, features); ``record``: local parts of the record's other addresses; ``book``: words of the corpus's headers. Both count as context."""
     flat = _flat(text)
     mails = _mail_starts(flat) if "@" in flat else []
     ends = -1
@@ -457,13 +661,7 @@ def candidates(text: str, record: str = "") -> Iterator[tuple[str, int, int, tup
             if m:
                 ends = m.end()
                 yield "email", a, ends, _email_row(flat, a, ends)
-    given_at, found = [], set()
-    for last, (what, size) in _automaton().iter(flat):
-        if what:
-            found.add(what)
-        else:
-            given_at.append((last - size + 1, last + 1))
-    if _SPELT_MARK in found:
+    if _has(flat, _SPELT):
         for m in _EMAIL.finditer(flat):
             if "@" not in m.group():
                 yield "email", m.start(), m.end(), _email_row(flat, m.start(), m.end())
@@ -472,16 +670,15 @@ def candidates(text: str, record: str = "") -> Iterator[tuple[str, int, int, tup
         if row is not None:
             yield "phone", a, b, row
             yield "id_number", a, b, row
-    for k, (pattern, _) in enumerate(_STREETS, 1):
-        if k in found:
-            for m in pattern.finditer(flat):
-                yield "street_address", m.start(), m.end(), _street_row(flat, m.start(), m.end())
-    addresses = set(_PIECES.findall(" ".join([flat[a:at] for a, at in mails] + [record]).lower()))
-    for a, b, row in name_candidates(text, flat, addresses, [a for a, _ in mails], given_at):
+    for a, b, row in street_candidates(flat, text):
+        yield "street_address", a, b, row
+    locals_ = " ".join([flat[a:at] for a, at in mails] + [record]).lower()
+    context = Context(text, flat, set(_PIECES.findall(locals_)), locals_, {len(flat[:a].rstrip(" <(")) if a < 80 else a - 80 + len(flat[a - 80 : a].rstrip(" <(")) for a, _ in mails}, book)
+    for a, b, row in name_candidates(context, [a for a, _ in mails]):
         yield "person_name", a, b, row
 
 
-_PIECES = re.compile(r"[a-z]{4,}")
+_PIECES = re.compile(r"[a-z]{3,}")
 
 
 def local_parts(text: str | None) -> str:
@@ -492,8 +689,8 @@ def local_parts(text: str | None) -> str:
 class Judge:
     """Models of the kinds, with the probabilities of feature rows already seen."""
 
-    def __init__(self, models: dict[str, Boosted]) -> None:
-        self.models = models
+    def __init__(self, models: dict[str, Boosted], book: frozenset[str] = frozenset()) -> None:
+        self.models, self.book = models, book
         self.known: dict[tuple, float] = {}
 
     def _probability(self, kind: str, row: tuple) -> float:
@@ -510,7 +707,7 @@ class Judge:
         if not text:
             return []
         hits = []
-        for kind, a, b, row in candidates(text, record):
+        for kind, a, b, row in candidates(text, record, self.book):
             p = self._probability(kind, row)
             if p >= self.models[kind].threshold:
                 hits.append((-p, a - b, a, b, kind))
@@ -546,14 +743,35 @@ def models() -> dict[str, Boosted]:
 
 
 FIELDS = ("body", "sender", "recipients")
+#: A word belongs to the book if at least this share of the records holds it outside the addresses of its headers.
+BOOK_SHARE = 1 / 5000
+#: Bound of the book: the share rises as far as no more words than this can reach it.
+BOOK_WORDS = 200_000
+
+
+def header_book(documents: DataFrame, share: float = BOOK_SHARE, most: int = BOOK_WORDS) -> frozenset[str]:
+    """Words that stand beside the addresses of many records, in lower case, each also with its runs outside ASCII folded to ``~``.
+
+    Counted over the headers of all documents, in the JVM, combined before the shuffle. At most (words in all) / (share * documents)
+    words can reach the share, so raising it to (words in all) / (``most`` * documents) bounds the book whatever the data.
+    """
+    headers = F.concat_ws(" ", "sender", "recipients")
+    words = F.array_distinct(F.regexp_extract_all(F.lower(headers), F.lit(r"(?<![\p{L}\p{N}._%+\-@'])(\p{L}[\p{L}'\-]+)(?![\p{L}\p{N}_@\-]|\.[\p{L}\p{N}])"), F.lit(1)))
+    rows = documents.select(words.alias("words"))
+    n, total = rows.agg(F.count("*"), F.coalesce(F.sum(F.size("words")), F.lit(0))).first()
+    if not total:
+        return frozenset()
+    least = max(share * n, total / most)  # so at most ``most`` words reach it
+    found = rows.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("docs")).filter(F.col("docs") >= least)
+    return frozenset(x for r in found.select("w").collect() for x in (r["w"], _ODD.sub("~", r["w"])))
 
 
 def found_kinds(documents: DataFrame) -> DataFrame:
     """message_id, field, kind: the kinds of personal information each field holds, once for each document."""
-    fitted = models()
+    fitted, book = models(), documents.sparkSession.sparkContext.broadcast(header_book(documents))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = Judge(fitted)
+        judge = Judge(fitted, book.value)
         bits = {k: 1 << i for i, k in enumerate(KINDS)}
         seen: dict[tuple, int] = {}  # by text and addresses of the record: both decide
         for b in batches:
@@ -595,10 +813,10 @@ def found_kinds(documents: DataFrame) -> DataFrame:
 
 def redacted(documents: DataFrame) -> DataFrame:
     """message_id, body, sender, recipients with placeholders; one row per input row."""
-    fitted = models()
+    fitted, book = models(), documents.sparkSession.sparkContext.broadcast(header_book(documents))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = Judge(fitted)
+        judge = Judge(fitted, book.value)
         for b in batches:
             columns: dict[str, list] = {f: b[f].to_pylist() for f in FIELDS}
             heads = [local_parts(s) + " " + local_parts(r) for s, r in zip(columns["sender"], columns["recipients"])]

@@ -5,7 +5,7 @@ from postmill.llm import personal
 
 def test_same_sender_with_other_recipients(spark, monkeypatch):
     class ByRecord:
-        def __init__(self, _):
+        def __init__(self, *_):
             pass
 
         def spans(self, text, record=""):

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postmill.llm.boosting import Boosted
-from postmill.session import spread
+from postmill.session import materialise, spread
 
 KINDS = ("email", "phone", "id_number", "street_address", "person_name")
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "street_address": "[ADDRESS]", "person_name": "[PERSON]"}
@@ -136,7 +136,6 @@ _TYPE_ENDS = re.compile(r"(?:stra(?:~|ß)e|strasse|str\.?|gasse|weg|platz|allee|
 _PREPOSED = frozenset("am an im in zum zur auf unter beim hinter".split())
 _PARTICLES = frozenset("de du des la le les del da do das dos los las el der den dem des di della d~ l~ d' l'".split())
 _SMALL = re.compile(r"\d(?<![\w.,/:#\-€$£+].)\d{0,3}(?: ?(?:bis|ter|quater)\b|[a-zA-Z]\b| [a-z]\b(?! ))?(?![\w/:%\-€$£]|[.,]\d)")
-_TOKEN = re.compile(r"[^\s]+")
 _FLAT_PREFIX = re.compile(r"(?:Flat|Apt\.?|Apartment|Unit|Suite) \d+[a-z]?, +$")
 
 # What stands before a phone number, an identity number, and any other number.
@@ -320,8 +319,17 @@ def _after_number(flat: str, b: int) -> tuple[int, int, int] | None:
         b += 1
     if flat[b : b + 1] != " ":
         return None
-    window = flat[b : b + 90]
-    words = [(x.group(), b + x.start()) for x in _TOKEN.finditer(window)][:7]
+    words: list[tuple[str, int]] = []
+    at, stop = b, min(len(flat), b + 90)
+    while at < stop and len(words) < 5:
+        if flat[at] == " ":
+            at += 1
+            continue
+        e = flat.find(" ", at, stop)
+        if e < 0:
+            e = stop
+        words.append((flat[at:e], at))
+        at = e
     if not words:
         return None
     first = _folded(words[0][0])
@@ -335,7 +343,7 @@ def _after_number(flat: str, b: int) -> tuple[int, int, int] | None:
         return None
     caps = 0
     end = b
-    for w, at in words[:5]:
+    for w, at in words:
         core = w.rstrip(".,;:!?)>")
         if len(core) < 2 or core[0] in "°º" or not _capital(core) or any(c.isdigit() or c in "@<°" for c in core):
             break
@@ -361,18 +369,26 @@ def _before_number(flat: str, a: int) -> tuple[int, int, int] | None:
     if flat[j - 1 : j] == ",":
         j -= 1
     low = max(0, j - 70)
-    words = [(x.group(), low + x.start()) for x in _TOKEN.finditer(flat[low:j])][-6:]
-    if not words:
-        return None
-    if low and words[0][1] == low:
-        words = words[1:]
     taken: list[tuple[str, int]] = []
-    for w, at in reversed(words):
-        if taken and w[-1] in ".,;:!?>)" and _folded(w) not in _TYPES_BEFORE and not _TYPE_ENDS.search(_folded(w)):
-            break
+    e = j
+    while e > low and len(taken) < 6:
+        if flat[e - 1] == " ":
+            e -= 1
+            continue
+        at = flat.rfind(" ", low, e) + 1
+        if at == 0:
+            if low:
+                break  # begins before the window
+            at = 0
+        w = flat[at:e]
+        if taken and w[-1] in ".,;:!?>)":
+            bare = _folded(w)
+            if bare not in _TYPES_BEFORE and not _TYPE_ENDS.search(bare):
+                break
         taken.insert(0, (w, at))
-        if _folded(w).lstrip("(\"'") in _TYPES_BEFORE or w.startswith("C/"):
+        if w.startswith("C/") or _folded(w).lstrip("(\"'") in _TYPES_BEFORE:
             break
+        e = at
     if not taken:
         return None
     for k in range(len(taken)):
@@ -436,7 +452,22 @@ class Context:
     def __init__(self, text: str, flat: str, addresses: set[str], locals_: str, marks: set[int], book: frozenset[str]) -> None:
         self.text, self.flat, self.addresses, self.locals, self.book = text, flat, addresses, locals_, book
         self.marks = marks  # ends of what stands right before an address
-        self.low = frozenset(flat.split(" "))  # also the words as they stand, so in lower case where they are
+        self._asked, self._low = 0, None
+
+    @property
+    def low(self) -> frozenset[str]:
+        """The words between blanks, as they stand."""
+        if self._low is None:
+            self._low = frozenset(self.flat.split(" "))
+        return self._low
+
+    def holds(self, word: str) -> bool:
+        """Whether ``word`` is one of ``low``; a few words are cheaper to look for than to gather all."""
+        self._asked += 1
+        if self._low is None and self._asked <= 12:
+            flat = self.flat
+            return f" {word} " in flat or flat.startswith(word + " ") or flat.endswith(" " + word) or flat == word
+        return word in self.low
 
     def known(self, plain: str) -> int:
         """2 if an address of the record has this piece, 1 if one only begins or goes on with it."""
@@ -477,7 +508,7 @@ def _name_row(c: Context, a: int, b: int, given: str | None, family: str, gap: s
         4 if g is None else g[0], f[0], 0 if g is None else g[1], f[1], 0 if g is None else g[2], f[2], min(3, f[3] // 2) if f[3] < 8 else 4, f[4] + 2 * (g[4] if g else 0),
         f[5] + 2 * (g[5] if g else 0), wrapped, comma, reverse, middle, follows, line_end, starts, line_start, header,
         0 if last in ".!?:;,>|" else 1 if low in _ARTICLES else 2 if previous[:1].islower() else 3 if previous[:1].isupper() else 0, int(_is_other(low)) if low else 0,
-        c.known(f[6]), 0 if g is None else c.known(g[6]), int(f[7] in c.low), 0 if g is None else int(g[7] in c.low), mark, int((after[:1] == " " or after[:1] == ":") and bool(_SPEAKING.match(after))),
+        c.known(f[6]), 0 if g is None else c.known(g[6]), int(c.holds(f[7])), 0 if g is None else int(c.holds(g[7])), mark, int((after[:1] == " " or after[:1] == ":") and bool(_SPEAKING.match(after))),
         int(f[8] in c.book) + 2 * int(g is not None and g[8] in c.book), 0 if g is None else min(3, g[3] // 3), int(family.find("-") > 0 or given is not None and given.find("-") > 0),
     )
 
@@ -498,7 +529,7 @@ def _trimmed(w: str, at: int) -> tuple[str, int]:
 
 
 def name_candidates(c: Context, mails: list[int]) -> Iterator[tuple[int, int, tuple]]:
-    """(start, end, features) of pairs of words, or of an initial and a word, that could be a person's name.
+    """(start, end, what ``_name_row`` needs beside them) of pairs of words, or of an initial and a word, that could be a person's name.
 
     Every two neighbouring words that begin with a capital, or with a character outside ASCII as a garbled
     capital may (a middle initial or a comma between); an initial and a word, in both orders; the two words
@@ -529,7 +560,7 @@ def name_candidates(c: Context, mails: list[int]) -> Iterator[tuple[int, int, tu
         if second is None:  # a family name, a comma and an initial
             if gap[0] == "," and middle is None:
                 b = k.end()
-                yield a, b, _name_row(c, a, b, None, first, text[m.end() : b - 2], 1, 0, 0)
+                yield a, b, (None, first, text[m.end() : b - 2], 1, 0, 0)
             continue
         if second in _SKIPPED:
             continue
@@ -547,9 +578,9 @@ def name_candidates(c: Context, mails: list[int]) -> Iterator[tuple[int, int, tu
         seen.add((a, b))
         mark = int(b in c.marks)
         if gap[0] == ",":
-            yield a, b, _name_row(c, a, b, second, first, gap, 1, 0, mark)
+            yield a, b, (second, first, gap, 1, 0, mark)
         else:
-            yield a, b, _name_row(c, a, b, first, second, gap, 0, int(middle is not None), mark)
+            yield a, b, (first, second, gap, 0, int(middle is not None), mark)
     for at in mails:
         m = _PAIR_BEFORE.search(flat, max(0, at - 70), at)
         if m and (m.start(1), m.end(3)) not in seen:
@@ -560,7 +591,7 @@ def name_candidates(c: Context, mails: list[int]) -> Iterator[tuple[int, int, tu
                 comma = "," in gap
                 b = x + len(s2)
                 seen.add((a, b))
-                yield a, b, _name_row(c, a, b, s2 if comma else s, s if comma else s2, gap, int(comma), 0, 1)
+                yield a, b, (s2 if comma else s, s if comma else s2, gap, int(comma), 0, 1)
     for w in sorted((c.low & c.book) | (c.low & c.addresses) | (c.low & _GIVEN_LOWER)):
         if len(w) < 3 or _word(w)[4] or _word(w)[1] == 3 or not ("a" <= w[0] <= "z" or w[0] > "\x7f"):
             continue
@@ -575,7 +606,7 @@ def name_candidates(c: Context, mails: list[int]) -> Iterator[tuple[int, int, tu
                         seen.add((a, b))
                         first, second = (w, other) if x > at else (other, w)
                         comma = "," in gap
-                        yield a, b, _name_row(c, a, b, second if comma else first, first if comma else second, gap, int(comma), 0, int(b in c.marks))
+                        yield a, b, (second if comma else first, first if comma else second, gap, int(comma), 0, int(b in c.marks))
             at = flat.find(w, end)
 
 
@@ -650,10 +681,8 @@ def _number_spans(flat: str, text: str) -> Iterator[tuple[int, int]]:
         yield a, b
 
 
-def candidates(text: str, record: str = "", book: frozenset[str] = frozenset()) -> Iterator[tuple[str, int, int, tuple]]:
-    """(kind, start, end, features); ``record``: local parts of the record's other addresses; ``book``: words of the corpus's headers. Both count as context."""
-    flat = _flat(text)
-    mails = _mail_starts(flat) if "@" in flat else []
+def number_candidates(flat: str, text: str, mails: list[tuple[int, int]]) -> Iterator[tuple[str, int, int, tuple]]:
+    """(kind, start, end, features) of all kinds but names."""
     ends = -1
     for a, _ in mails:
         if a >= ends:
@@ -672,10 +701,26 @@ def candidates(text: str, record: str = "", book: frozenset[str] = frozenset())
             yield "id_number", a, b, row
     for a, b, row in street_candidates(flat, text):
         yield "street_address", a, b, row
+
+
+def context_of(flat: str, text: str, mails: list[tuple[int, int]], record: str, book: frozenset[str]) -> Context:
     locals_ = " ".join([flat[a:at] for a, at in mails] + [record]).lower()
-    context = Context(text, flat, set(_PIECES.findall(locals_)), locals_, {len(flat[:a].rstrip(" <(")) if a < 80 else a - 80 + len(flat[a - 80 : a].rstrip(" <(")) for a, _ in mails}, book)
-    for a, b, row in name_candidates(context, [a for a, _ in mails]):
-        yield "person_name", a, b, row
+    marks = set()
+    for a, _ in mails:
+        while a and flat[a - 1] in " <(":
+            a -= 1
+        marks.add(a)
+    return Context(text, flat, set(_PIECES.findall(locals_)), locals_, marks, book)
+
+
+def candidates(text: str, record: str = "", book: frozenset[str] = frozenset()) -> Iterator[tuple[str, int, int, tuple]]:
+    """(kind, start, end, features); ``record``: local parts of the record's other addresses; ``book``: words of the corpus's headers. Both count as context."""
+    flat = _flat(text)
+    mails = _mail_starts(flat) if "@" in flat else []
+    yield from number_candidates(flat, text, mails)
+    context = context_of(flat, text, mails, record, book)
+    for a, b, words in name_candidates(context, [a for a, _ in mails]):
+        yield "person_name", a, b, _name_row(context, a, b, *words)
 
 
 _PIECES = re.compile(r"[a-z]{3,}")
@@ -686,6 +731,17 @@ def local_parts(text: str | None) -> str:
     return " ".join([text[a:at] for a, at in _mail_starts(text)]) if text else ""
 
 
+def _placed(hits: list[tuple]) -> list[tuple[int, int, str]]:
+    """Of overlapping hits (-probability, -length, start, end, kind) the most probable, then the longest, in order of place."""
+    hits.sort()
+    taken: list[tuple[int, int, str]] = []  # they do not overlap, so the neighbours decide
+    for _, _, a, b, kind in hits:
+        k = bisect_left(taken, (a, b, kind))
+        if (k == 0 or taken[k - 1][1] <= a) and (k == len(taken) or taken[k][0] >= b):
+            taken.insert(k, (a, b, kind))
+    return taken
+
+
 class Judge:
     """Models of the kinds, with the probabilities of feature rows already seen."""
 
@@ -702,22 +758,43 @@ class Judge:
             p = self.known[key] = self.models[kind].probability(row)
         return p
 
+    def _hits(self, found: Iterator[tuple[str, int, int, tuple]]) -> list[tuple]:
+        out = []
+        for kind, a, b, row in found:
+            p = self._probability(kind, row)
+            if p >= self.models[kind].threshold:
+                out.append((-p, a - b, a, b, kind))
+        return out
+
     def spans(self, text: str | None, record: str = "") -> list[tuple[int, int, str]]:
         """(start, end, kind) of what is personal; spans do not overlap."""
         if not text:
             return []
-        hits = []
-        for kind, a, b, row in candidates(text, record, self.book):
-            p = self._probability(kind, row)
-            if p >= self.models[kind].threshold:
-                hits.append((-p, a - b, a, b, kind))
-        hits.sort()
-        taken: list[tuple[int, int, str]] = []  # in order of place; they do not overlap, so the neighbours decide
-        for _, _, a, b, kind in hits:
-            k = bisect_left(taken, (a, b, kind))
-            if (k == 0 or taken[k - 1][1] <= a) and (k == len(taken) or taken[k][0] >= b):
-                taken.insert(k, (a, b, kind))
-        return taken
+        hits = self._hits(candidates(text, record, self.book))
+        return _placed(hits)
+
+    def kinds(self, text: str | None, record: str = "") -> set[str]:
+        """The kinds of ``spans``. A name that meets no other kind's span is placed, or a better name in its place: once one is found,
+        only names that meet other spans, and could displace them, are judged."""
+        if not text:
+            return set()
+        flat = _flat(text)
+        mails = _mail_starts(flat) if "@" in flat else []
+        hits = self._hits(number_candidates(flat, text, mails))
+        # names are words, so they meet no span of digits and signs, and no address without a blank in it
+        others = [(a, b) for _, _, a, b, k in hits if k == "street_address" or k == "email" and " " in flat[a:b] or k == "id_number" and not flat[a:b].upper() == flat[a:b].lower()]
+        context, named = context_of(flat, text, mails, record, self.book), False
+        for a, b, words in name_candidates(context, [a for a, _ in mails]):
+            free = all(b <= x or y <= a for x, y in others) if others else True
+            if free and named:
+                continue
+            p = self._probability("person_name", _name_row(context, a, b, *words))
+            if p >= self.models["person_name"].threshold:
+                hits.append((-p, a - b, a, b, "person_name"))
+                named = named or free
+                if named and not others:
+                    break
+        return {k for _, _, k in _placed(hits)} | ({"person_name"} if named else set())
 
     def redact(self, text: str | None, record: str = "") -> str | None:
         """Text with a typed placeholder for each span; null stays null."""
@@ -755,14 +832,14 @@ def header_book(documents: DataFrame, share: float = BOOK_SHARE, most: int = BOO
     Counted over the headers of all documents, in the JVM, combined before the shuffle. At most (words in all) / (share * documents)
     words can reach the share, so raising it to (words in all) / (``most`` * documents) bounds the book whatever the data.
     """
-    headers = F.concat_ws(" ", "sender", "recipients")
-    words = F.array_distinct(F.regexp_extract_all(F.lower(headers), F.lit(r"(?<![\p{L}\p{N}._%+\-@'])(\p{L}[\p{L}'\-]+)(?![\p{L}\p{N}_@\-]|\.[\p{L}\p{N}])"), F.lit(1)))
-    rows = documents.select(words.alias("words"))
-    n, total = rows.agg(F.count("*"), F.coalesce(F.sum(F.size("words")), F.lit(0))).first()
+    pieces = F.split(F.lower(F.concat_ws(" ", "sender", "recipients")), r"[\s,;:<>()\[\]\"“”„«»]+")
+    words = F.array_distinct(F.filter(pieces, lambda w: (F.length(w) > 1) & ~F.contains(w, F.lit("@")) & F.rlike(w, F.lit(r"^\p{L}[\p{L}'\-]+$"))))
+    counted = materialise(documents.select(F.explode(words).alias("w")).groupBy("w").agg(F.count("*").alias("docs")), "header-words")
+    total = counted.agg(F.sum("docs")).first()[0]
     if not total:
         return frozenset()
-    least = max(share * n, total / most)  # so at most ``most`` words reach it
-    found = rows.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("docs")).filter(F.col("docs") >= least)
+    least = max(share * documents.count(), total / most)  # so at most ``most`` words reach it
+    found = counted.filter(F.col("docs") >= least)
     return frozenset(x for r in found.select("w").collect() for x in (r["w"], _ODD.sub("~", r["w"])))
 
 
@@ -784,7 +861,7 @@ def found_kinds(documents: DataFrame) -> DataFrame:
                         code |= seen[text, heads] << shift
                         continue
                     own = 0
-                    for _, _, kind in judge.spans(text, heads):
+                    for kind in judge.kinds(text, heads):
                         own |= bits[kind]
                     if shift and text:
                         if len(seen) > 200_000:

@@ -1,5 +1,7 @@
 """Problem 1: kinds and placeholders; held-out accuracy of the models on composed examples."""
 
+import random
+
 import pytest
 
 from postmill.llm import personal, personal_training
@@ -110,3 +112,14 @@ def test_table(spark):
     assert set(got) == {("a", "body", "phone"), ("a", "sender", "person_name"), ("a", "sender", "email"), (None, "body", "email")}
     assert personal.redacted(df).count() == 4
     assert personal.found_kinds(df.limit(0)).count() == 0 and personal.redacted(df.limit(0)).count() == 0
+
+
+def test_kinds_are_those_of_the_spans(judge, taught):
+    """``kinds`` places no more names than it must; the result is that of placing all."""
+    r = random.Random(5)
+    pieces = [text for _, text, _ in unseen.cases()] + [t for t, _ in CASES] + ["Ask Percy Winmere Street 5, 12 Percy Winmere Lane", "Percy AB 12 34 56 C", "silas percy @ x.test"]
+    for _ in range(1500):
+        text = r.choice([" ", "\n", ", "]).join(r.sample(pieces, r.randrange(1, 6)))
+        for j in (judge, taught):
+            assert j.kinds(text) == {k for _, _, k in j.spans(text)}
+    assert judge.kinds("") == judge.kinds(None) == set()

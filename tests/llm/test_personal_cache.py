@@ -8,8 +8,8 @@ def test_same_sender_with_other_recipients(spark, monkeypatch):
         def __init__(self, *_):
             pass
 
-        def spans(self, text, record=""):
-            return [(0, 1, "person_name")] if text and "weller" in record else []
+        def kinds(self, text, record=""):
+            return {"person_name"} if text and "weller" in record else set()
 
     monkeypatch.setattr(personal, "Judge", ByRecord)
     monkeypatch.setattr(personal, "models", dict)

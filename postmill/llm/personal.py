@@ -158,12 +158,16 @@ def _has(text: str, marks: tuple[str, ...]) -> bool:
     return False
 
 
+def _blanks(m: re.Match) -> str:
+    return " " * (m.end() - m.start())
+
+
 def _flat(text: str) -> str:
     """Text of the same length with line breaks and the quote marks after them blanked."""
     if "\n" not in text:
         return text
     if ">" in text or "|" in text:
-        return _BREAK.sub(lambda m: " " * len(m.group()), text)
+        return _BREAK.sub(_blanks, text)
     return text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
 
 
@@ -247,17 +251,33 @@ def _digit_row(flat: str, a: int, b: int, text: str) -> tuple | None:
     )
 
 
+_TOWN = re.compile(r"[,\s]{0,3}(?:\d{4,5}\b|[A-ZÀ-Þ])")
+_NO_NAME: dict[str, bool] = {}
+
+
+def _no_name(w: str) -> bool:
+    """Whether a word within a street is a function word other than those streets have."""
+    known = _NO_NAME.get(w)
+    if known is None:
+        if len(_NO_NAME) > 100_000:
+            _NO_NAME.clear()
+        low = w.lower()
+        known = _NO_NAME[w] = low not in _PARTICLES and low not in _PREPOSED and _is_other(w.strip(".,").lower())
+    return known
+
+
 def _street_row(flat: str, a: int, b: int, kind: int, words: int, number: str) -> tuple:
     """``kind``: 0 no street word, 1 one after the name, 2 one before it, 3 one that ends the name, 4 a preposition before the name."""
     s, before, after = flat[a:b], flat[max(0, a - 24) : a], flat[b : b + 4]
     lead = before.rstrip()
     last = lead[lead.rfind(" ") + 1 :].lower()
-    months = int(any(_is_other(w.strip(".,").lower()) for w in s.split() if w[0].isalpha() and w.lower() not in _PARTICLES and w.lower() not in _PREPOSED))
+    words_ = s.split()
+    months = int(any(w[0].isalpha() and _no_name(w) for w in words_))
     return (
         kind, int(s[0].isdigit() or s.startswith(("Flat", "Apt", "Unit", "Suite"))), min(6, words), len(number), int(not s[-1].isdigit() and s[-2:-1].isdigit()),
         0 if not lead else 1 if lead[-1] in ",:" else 2 if lead[-1] in ".!?>|" else 3, int(last in _ARTICLES), int(last in _PLACE_WORDS),
-        int(bool(_ORDER_CUES.search(lead.lower()))), int(bool(re.match(r"[,\s]*(?:\d{4,5}\b|[A-ZÀ-Þ])", after))), int(after[:1] == ","), int("," in s), months, int(number[0] == "0"),
-        int(any(len(w) > 1 and w.isupper() for w in s.split())), int(bool(re.match(r" +\d", after))),
+        int(bool(_ORDER_CUES.search(lead.lower()))), int(bool(_TOWN.match(flat, b))), int(after[:1] == ","), int("," in s), months, int(number[0] == "0"),
+        int(any(len(w) > 1 and w.isupper() for w in words_)), int(after[:1] == " " and after.lstrip()[:1].isdigit()),
     )
 
 
@@ -773,13 +793,14 @@ class Judge:
         hits = self._hits(candidates(text, record, self.book))
         return _placed(hits)
 
-    def kinds(self, text: str | None, record: str = "") -> set[str]:
+    def kinds(self, text: str | None, record: str = "", mails: list[tuple[int, int]] | None = None) -> set[str]:
         """The kinds of ``spans``. A name that meets no other kind's span is placed, or a better name in its place: once one is found,
-        only names that meet other spans, and could displace them, are judged."""
+        only names that meet other spans, and could displace them, are judged. ``mails``: ``_mail_starts`` of the text, where known."""
         if not text:
             return set()
         flat = _flat(text)
-        mails = _mail_starts(flat) if "@" in flat else []
+        if mails is None or flat is not text:
+            mails = _mail_starts(flat) if "@" in flat else []
         hits = self._hits(number_candidates(flat, text, mails))
         # names are words, so they meet no span of digits and signs, and no address without a blank in it
         others = [(a, b) for _, _, a, b, k in hits if k == "street_address" or k == "email" and " " in flat[a:b] or k == "id_number" and not flat[a:b].upper() == flat[a:b].lower()]
@@ -826,15 +847,32 @@ BOOK_SHARE = 1 / 5000
 BOOK_WORDS = 200_000
 
 
+_MARKS = str.maketrans(dict.fromkeys(",;:<>()[]\"“”„«»", " "))
+
+
+def _header_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words of headers with the number of records that hold them, summed over as many batches as fit a bounded table."""
+    counts: dict[str, int] = {}
+    for last in (False, True):
+        for b in batches if not last else (None,):
+            if b is not None:
+                for sender, recipients in zip(b["sender"].to_pylist(), b["recipients"].to_pylist()):
+                    for w in set(f"{sender or ''} {recipients or ''}".lower().translate(_MARKS).split()):
+                        if "@" not in w and "." not in w and len(w) > 1 and w[0].isalpha():
+                            counts[w] = counts.get(w, 0) + 1
+            if last or len(counts) > 200_000:
+                yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["w", "docs"])
+                counts = {}
+
+
 def header_book(documents: DataFrame, share: float = BOOK_SHARE, most: int = BOOK_WORDS) -> frozenset[str]:
     """Words that stand beside the addresses of many records, in lower case, each also with its runs outside ASCII folded to ``~``.
 
-    Counted over the headers of all documents, in the JVM, combined before the shuffle. At most (words in all) / (share * documents)
+    Counted over the headers of all documents, combined before the shuffle. At most (words in all) / (share * documents)
     words can reach the share, so raising it to (words in all) / (``most`` * documents) bounds the book whatever the data.
     """
-    pieces = F.split(F.lower(F.concat_ws(" ", "sender", "recipients")), r"[\s,;:<>()\[\]\"“”„«»]+")
-    words = F.array_distinct(F.filter(pieces, lambda w: (F.length(w) > 1) & ~F.contains(w, F.lit("@")) & F.rlike(w, F.lit(r"^\p{L}[\p{L}'\-]+$"))))
-    counted = materialise(documents.select(F.explode(words).alias("w")).groupBy("w").agg(F.count("*").alias("docs")), "header-words")
+    rows = documents.select("sender", "recipients").mapInArrow(_header_words, "w string, docs bigint")
+    counted = materialise(rows.groupBy("w").agg(F.sum("docs").alias("docs")), "header-words")
     total = counted.agg(F.sum("docs")).first()[0]
     if not total:
         return frozenset()
@@ -855,13 +893,14 @@ def found_kinds(documents: DataFrame) -> DataFrame:
             codes = []
             for body, sender, recipients in zip(*(b[f].to_pylist() for f in FIELDS)):
                 code = 0
-                heads = local_parts(sender) + " " + local_parts(recipients)
+                starts = {5: _mail_starts(sender or ""), 10: _mail_starts(recipients or "")}
+                heads = " ".join([sender[a:at] for a, at in starts[5]]) + " " + " ".join([recipients[a:at] for a, at in starts[10]])
                 for shift, text in ((0, body), (5, sender), (10, recipients)):
                     if shift and (text, heads) in seen:
                         code |= seen[text, heads] << shift
                         continue
                     own = 0
-                    for kind in judge.kinds(text, heads):
+                    for kind in judge.kinds(text, heads, starts.get(shift)):
                         own |= bits[kind]
                     if shift and text:
                         if len(seen) > 200_000:

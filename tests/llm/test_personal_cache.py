@@ -8,7 +8,7 @@ def test_same_sender_with_other_recipients(spark, monkeypatch):
         def __init__(self, *_):
             pass
 
-        def kinds(self, text, record=""):
+        def kinds(self, text, record="", mails=None):
             return {"person_name"} if text and "weller" in record else set()
 
     monkeypatch.setattr(personal, "Judge", ByRecord)

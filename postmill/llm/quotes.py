@@ -2,9 +2,13 @@
 
 Multilingual line rules (en, de, fr, es, pt). Lines are judged in the body as it stands; runs of
 characters outside ASCII are folded to one mark before words are compared, so the rules also hold in
-garbled text. A marked quotation ends with its marks, so replies between quotations are kept; an
-attribution without marked lines after it, a header block, a closing, a signature or a device line opens a
-tail that runs to the end of the body (earlier mail without marks follows such lines).
+garbled text. A marked quotation ends with its marks, so replies between quotations are kept. Indented lines
+are a quotation only after an attribution or beside marked lines, and letters before a ``>`` are a mark only
+as initials. An attribution without marked lines after it, a header block or a second greeting opens earlier
+mail, which runs to the end of the body. A closing, a signature or a device line opens a signature: it counts
+only if the end, a quotation, a rule, a notice or short lines that are no sentences come next, and a
+reply written below a quotation after it is new text again. A sentence like a notice within a text, with new
+sentences after it, is a notice only if it speaks of the message itself.
 
 Edge cases: null and empty bodies have no lines; blank lines are never reported; a line that holds only a
 quote mark is quotation; '\\r' before the line feed is ignored; bodies of any length are read once.
@@ -85,8 +89,16 @@ _NOTICE_STEMS = (
     "toute responsabilit", "par erreur", "va dirigido", "no responde", "no se hace", "por error", "destina-se", "responsabiliza",
     "n~o responde", "engano", "drucken", "imprim",
 )
+#: Longest line of a greeting, closing or header; of a line of a signature; head of an attribution that has neither date nor address;
+#: whole attribution (over three lines at most); a first line without any of its signs; in characters.
+SHORT_LINE, SIGNATURE_LINE, ATTRIBUTION_HEAD, ATTRIBUTION, ATTRIBUTION_START = 80, 48, 60, 220, 60
+#: A line of new text below a quotation has at least this many characters, or ends like a sentence.
+REPLY_LINE = 30
 _MARK_STARTS = frozenset(" \t>|\u00bbABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
-_MARK = re.compile(r"^\s{0,3}(?:[A-Za-z]{0,3}>|\|(?=\s|$)|»)|^(?:\t| {4})")
+_MARK = re.compile(r"^\s{0,3}(?:>|[A-Z]{1,3}>(?=[\s>|]|$)|\|(?=\s|$)|»)")
+_INDENT = re.compile(r"^(?:\t| {4})")
+# What a notice that stands within a text says of itself, folded.
+_ITSELF = re.compile(r"\b(?:th(?:is|e) (?:e-?mail|mail|message)|dies(?:e|er) (?:e-?mail|mail|nachricht)|ce (?:message|courriel)|est(?:e|a) (?:mensaje|correo|mensagem|e-?mail)|confiden|vertraulich|recipient|empf~nger|destinat)")
 _GREETING = re.compile(rf"(?:(?:{GREETINGS})(?:[ ,][^.!?]{{0,50}})?|[a-z~]+(?:[- ][a-z~.]+){{0,3}}) ?[,:]$|(?:{GREETINGS})(?: [^.!?,:]{{1,30}})?[!]?$")
 _DATE = re.compile(r"\d{1,4}[-./]\d{1,2}[-./]\d{2,4}|\d{1,2}:\d\d")
 _WORD = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*\.?")
@@ -108,15 +120,15 @@ def _attribution(folded: list[str], i: int) -> int:
             if not _SAID.search(text):
                 return 0
             head = text[: -1].strip()
-            if "@" in head or _DATE.search(head) or len(head) < 60 and re.search(rf"(?:{SAID})$", head):
+            if "@" in head or _DATE.search(head) or len(head) < ATTRIBUTION_HEAD and re.search(rf"(?:{SAID})$", head):
                 return n
             return 0
         if i + n >= len(folded) or not folded[i + n]:
             return 0
-        if n == 1 and not ("@" in line or _DATE.search(line) or line.startswith(("on ", "at ", "am ", "le ", "el ", "em ", "a "))) and len(line) > 60:
+        if n == 1 and not ("@" in line or _DATE.search(line) or line.startswith(("on ", "at ", "am ", "le ", "el ", "em ", "a "))) and len(line) > ATTRIBUTION_START:
             return 0
         text = text + " " + folded[i + n]
-        if len(text) > 220:
+        if len(text) > ATTRIBUTION:
             return 0
     return 0
 
@@ -125,21 +137,64 @@ def _name_words(sender: str | None) -> set[str]:
     return {w.strip(".").lower() for w in _WORD.findall((sender or "").split("@")[0] + " " + (sender or ""))}
 
 
+_CODE = re.compile(r"[{}()=\[\]_$#\\;]|^[-*+\d]")
+
+
+def _letter_like(plain: str, folded: str) -> bool:
+    """Whether an indented line reads like mail rather than like code, a list or a table: a sentence of six words, a greeting, closing or header."""
+    if len(plain.split()) >= 6:
+        return not _CODE.search(plain)
+    return bool(_GREETING.match(folded) or _SHORT.match(folded) or _HEADER.match(folded))
+
+
+def _marks(lines: list[str], plain: list[str], folded: list[str]) -> list[bool]:
+    """Which lines carry a quotation's mark. Indented lines do if a block of them reads like mail, or stands after an attribution or beside marked lines."""
+    n = len(lines)
+    out = [bool(x) and x[0] in _MARK_STARTS and _MARK.match(x) is not None for x in lines]
+    if not any(x[:1] == "\t" or x[:4] == "    " for x in lines):
+        return out
+    blocks, like_mail, i = [], False, 0
+    while i < n:
+        if out[i] or not plain[i] or not _INDENT.match(lines[i]):
+            i += 1
+            continue
+        k = i
+        while k < n and (not plain[k] or _INDENT.match(lines[k])) and not out[k]:
+            k += 1
+        b = i - 1
+        while b >= 0 and not plain[b]:
+            b -= 1
+        said = b >= 0 and plain[b][-1] == ":" and any(_attribution(folded, x) == b - x + 1 for x in range(max(0, b - 2), b + 1))
+        beside = said or b >= 0 and out[b] or k < n and out[k]
+        # a first line set in, with the rest of its paragraph not, is no quotation
+        alone = k == i + 1 and k < n and plain[k]
+        like_mail = like_mail or not alone and any(plain[x] and _letter_like(plain[x], folded[x]) for x in range(i, k))
+        blocks.append((i, k, beside))
+        i = k
+    for i, k, beside in blocks:
+        if beside or like_mail:
+            for x in range(i, k):
+                out[x] = bool(lines[x])
+    return out
+
+
 def foreign_lines(body: str | None, sender: str | None = None) -> list[int]:
     """Numbers (from 1) of the non-blank lines that the sender did not newly write."""
     if not body:
         return []
     lines = body.split("\n")
     plain = [x.strip() for x in lines]
-    marked = [bool(x) and (x[0] in _MARK_STARTS) and _MARK.match(x) is not None for x in lines]
     text = _fold(body)
     folded = [x.strip() for x in text.split("\n")]
+    marked = _marks(lines, plain, folded)
     notices = any(x in text for x in _NOTICE_STEMS)
     n = len(lines)
     out = [False] * n
     names: set[str] | None = None
     fresh = False  # new text other than a greeting was seen
     kept = 0  # lines of new text so far
+    signed = False  # within a signature
+    quoted = False  # the last line that was not blank is marked
     i = 0
     while i < n:
         here = plain[i]
@@ -147,12 +202,14 @@ def foreign_lines(body: str | None, sender: str | None = None) -> list[int]:
             i += 1
             continue
         if marked[i]:
-            out[i] = True
+            out[i] = quoted = True
             i += 1
             continue
+        below, quoted = quoted, False
         line = folded[i]
-        short = len(here) <= 80
-        if short and fresh and not plain[i - 1] and here[-1] in ",:!" and _GREETING.match(line):
+        short = len(here) <= SHORT_LINE
+        kind = _SHORT.match(line) if short else None
+        if short and (fresh or signed) and not plain[i - 1] and here[-1] in ",:!" and not (kind and kind.lastgroup == "closing") and _GREETING.match(line):
             break  # a second greeting: earlier mail without marks
         if here[-1] == ":" or "".join(plain[i + 1 : i + 3]).find(":") >= 0:
             k = _attribution(folded, i)
@@ -165,41 +222,48 @@ def foreign_lines(body: str | None, sender: str | None = None) -> list[int]:
                 if j < n and not marked[j]:
                     break
                 continue
-        if short:
-            kind = _SHORT.match(line)
-            if kind:
-                what = kind.lastgroup
-                if what in ("closing", "device", "forward", "sign"):
-                    break
-                if what == "sender" and i + 1 < n and _HEADER.match(folded[i + 1]):
-                    break
-                if what == "rule":
-                    if _opens_tail(folded, plain, marked, i + 1):
-                        break
-                    out[i] = True
-                    i += 1
-                    continue
+        if kind:
+            what = kind.lastgroup
+            if what == "forward" or what == "sender" and i + 1 < n and _HEADER.match(folded[i + 1]):
+                break
+            if what in ("closing", "device", "sign") and (signed or what != "closing" or _closes(plain, folded, marked, i + 1)):
+                signed = out[i] = True
+                i += 1
+                continue
+            if what == "rule":
+                signed = signed or _opens_tail(folded, plain, marked, i + 1)
+                out[i] = True
+                i += 1
+                continue
         if notices and _NOTICE.search(line):
-            start = i
-            out[i] = True
-            i += 1
-            while i < n and plain[i] and not marked[i]:
+            end = i + 1
+            while end < n and plain[end] and not marked[end]:
+                end += 1
+            if signed or not kept or _ends_here(plain, folded, marked, end) or any(_ITSELF.search(x) for x in folded[i:end]):
+                start = i
+                out[i:end] = [True] * (end - i)
+                # the notice may have begun on the lines before, after the end of a sentence
+                while start > 0 and plain[start - 1] and not marked[start - 1] and not out[start - 1] and not _ENDS.search(plain[start - 1]):
+                    start -= 1
+                    out[start] = True
+                    kept -= 1
+                if kept and _ends_here(plain, folded, marked, end):
+                    signed = True  # a notice ends its sender's text, unless it stands before or within it
+                i = end
+                continue
+        if signed:
+            if not below or not (len(here) >= REPLY_LINE or here[-1] in ".!?"):
                 out[i] = True
                 i += 1
-            # the notice may have begun on the lines before, after the end of a sentence
-            while start > 0 and plain[start - 1] and not marked[start - 1] and not out[start - 1] and not _ENDS.search(plain[start - 1]):
-                start -= 1
-                out[start] = True
-                kept -= 1
-            # a notice ends its sender's text, unless it stands before it
-            if kept:
-                break
-            continue
-        if short and len(here) <= 48 and here[-1] not in ".,:;?!":
+                continue
+            signed = False  # a reply below a quotation
+        if short and len(here) <= SIGNATURE_LINE and here[-1] not in ".,:;?!":
             if names is None:
                 names = _name_words(sender)
             if _signature_line(plain, marked, i, names):
-                break
+                signed = out[i] = True
+                i += 1
+                continue
         fresh = fresh or not (short and _GREETING.match(line))
         kept += 1
         i += 1
@@ -207,6 +271,35 @@ def foreign_lines(body: str | None, sender: str | None = None) -> list[int]:
     return [i + 1 for i in range(n) if out[i] and plain[i]]
 
 
+def _next_line(plain: list[str], i: int) -> int:
+    while i < len(plain) and not plain[i]:
+        i += 1
+    return i
+
+
+def _closes(plain: list[str], folded: list[str], marked: list[bool], i: int) -> bool:
+    """Whether a closing formula before line i is one: a name, the end, a quotation, a rule or a notice comes next, no sentence."""
+    j = _next_line(plain, i)
+    if j >= len(plain) or marked[j]:
+        return True
+    here = plain[j]
+    kind = _SHORT.match(folded[j]) if len(here) <= SHORT_LINE else None
+    if kind or _NOTICE.search(folded[j]) or _attribution(folded, j):
+        return True
+    return len(here) <= SIGNATURE_LINE and here[-1] not in ".!?;" or here[-1] in ",:!" and _GREETING.match(folded[j]) is not None
+
+
+def _ends_here(plain: list[str], folded: list[str], marked: list[bool], i: int) -> bool:
+    """Whether no new sentence follows from line i on: the end, a quotation, earlier mail or short lines come next."""
+    j = _next_line(plain, i)
+    if j >= len(plain) or marked[j]:
+        return True
+    here = plain[j]
+    if len(here) > SHORT_LINE:
+        return _attribution(folded, j) > 0 or _NOTICE.search(folded[j]) is not None
+    return bool(_SHORT.match(folded[j]) or _GREETING.match(folded[j]) or _attribution(folded, j) or _NOTICE.search(folded[j])) or len(here) <= SIGNATURE_LINE and here[-1] not in ".!?;,"
+
+
 def _opens_tail(folded: list[str], plain: list[str], marked: list[bool], i: int) -> bool:
     """Whether a rule before line i sets off a signature or a header block rather than parts of new text."""
     for j in range(i, min(i + 3, len(plain))):

@@ -20,6 +20,15 @@ CASES = [
     ("Können wir.\n\nViele GrÃ¼ÃŸe\nNeil", "Neil", [3, 4]),
     ("CONFIDENTIAL: passing on or copying this mail is not allowed.\n\nNew below.", "Ann", [1]),
     ("new\r\n>old\r\n", "Ann", [2]),
+    ("Thanks!\n\nThe report is attached and we meet on Friday.", "Ann", []),
+    ("Thank you\n\nI read it all and agree with the plan.\n\nBest,\nAnn", "Ann", [5, 6]),
+    ("The plan holds.\n\nThe vendor accepts no liability for parts.\n\nWe should ask again next week.", "Ann", []),
+    ("New.\n\nBest,\nAnn\n\n> old one\n> old two\n\nYes, that works for me as well.", "Ann", [3, 4, 6, 7]),
+    ("Run this:\n\n    pip install foo\n    x = bar(1)\n\nThen call me.", "Ann", []),
+    ("Ben wrote:\n\n    pip install foo\n\nThen call me.", "Ann", [1, 3]),
+    ("We know x>y is true.\nx>y is true.\nSo be it.", "Ann", []),
+    ("    We set the first line in,\nthe rest of it not, as in a letter of old.", "Ann", []),
+    ("All fine.\nThanks", "Ann", [2]), ("New.\n\nThanks,\nAnn Lee\n\n-- \nAnn Lee\nSales", "Ann Lee", [3, 4, 6, 7, 8]),
     ("", None, []), (None, None, []), ("\n \n", "x", []), (">", None, [1]),
 ]
 

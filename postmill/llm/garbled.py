@@ -5,6 +5,7 @@ Every distinct word of the corpus that holds a character outside ASCII is put th
 corpus's distinct words. Where a form is itself a word of the corpus, it is taken for garbled if the
 original is the more plausible of the two: fewer odd characters, or as many and more documents. Words that
 decode back through a chain of UTF-8 add their originals to the list, so a word need not occur clean.
+A word wholly in another script is sound by itself; it is restored only in a record that other words show to be garbled.
 Replacement characters mark a word as garbled by themselves; it is restored where just one word of the
 corpus gives that form.
 
@@ -21,6 +22,7 @@ an empty result.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -37,10 +39,12 @@ LOST = "�"
 READERS = ("cp1252", "latin-1", "cp437", "cp850", "mac_roman", "cp1251")
 #: One-byte encodings text is written in before it is misread as another.
 WRITERS = ("cp1252", "cp437", "cp850", "mac_roman")
-# Characters that ordinary text in these languages holds beside ASCII.
-ORDINARY = frozenset(
-    "äöüßéèêëàâôîïûùçœæñóíáúãõìòåøÄÖÜÉÈÊËÀÂÔÎÏÛÙÇŒÆÑÓÍÁÚÃÕÅØ’‘“”„«»‹›–—…€£°¿¡ºª§·•☎ł"
+# Characters that ordinary Latin text holds beside ASCII; the letters of Latin Extended-A, which no reader but cp1252 makes, count too.
+ORDINARY = frozenset("äöüßéèêëàâôîïûùçœæñóíáúãõìòåøÄÖÜÉÈÊËÀÂÔÎÏÛÙÇŒÆÑÓÍÁÚÃÕÅØðþýÐÞÝ’‘“”„«»‹›–—…€£°¿¡ºª§·•☎") | frozenset(
+    chr(c) for c in range(0x100, 0x180) if chr(c) not in "ŒœŠšŽžŸ"
 )
+#: Letters that cp1252 also makes of a second byte, and the letters it makes of a first one.
+_SECOND, _FIRST = frozenset("šžŠŽ"), frozenset("ÂÃÄÅ")
 
 
 def _reader(name: str) -> list[str]:
@@ -107,13 +111,25 @@ def ungarble(word: str, chain: tuple) -> str | None:
     return back if back != word and garble(back, chain) == word else None
 
 
+def _foreign(c: str) -> bool:
+    """Whether a character is a letter of another script than the Latin one."""
+    return c.isalpha() and c > "\u024f" and not unicodedata.name(c, "LATIN").startswith(("LATIN", "FEMININE", "MASCULINE", "MODIFIER"))
+
+
 def oddity(word: str) -> int:
-    """Number of characters that ordinary text would hardly have there; twice that of capitals inside a word."""
+    """Number of characters that text would hardly have there; twice that of capitals inside a word.
+
+    Judged by script: letters of another script are odd beside Latin ones or signs, not in a word of their own.
+    """
+    if not word.isascii() and all(c.isdigit() or c in "’'" or _foreign(c) or unicodedata.combining(c) for c in word):
+        return 0
     odd = 0
     before = ""
     for c in word:
         if c > "\x7f":
-            if c not in ORDINARY:
+            if c in _SECOND:
+                odd += 2 if before in _FIRST else 0
+            elif c not in ORDINARY:
                 odd += 2
             elif c.isupper() and before.islower():
                 odd += 1
@@ -159,8 +175,17 @@ def records_words(records: DataFrame) -> DataFrame:
     return records.filter(F.col("text").rlike(r"[^\x00-\x7F]")).select("record", "field", words.alias("words"))
 
 
+#: Words wholly of letters of another script than the Latin one.
+_OWN_SCRIPT = r"^[^\x00-\x7F\p{IsLatin}\p{P}\p{S}\p{N}\p{C}\p{Z}]+$"
+
+
 def garbled_words(words: DataFrame) -> DataFrame:
-    """word, original: the garbled words among ``words`` (word, docs); original is null where it cannot be told."""
+    """word, original, sure: the garbled words among ``words`` (word, docs); original is null where it cannot be told.
+
+    Words wholly in another script are never sure: they come too, with the word they may have been (null if none), for records
+    that sure words show to be garbled.
+    """
+    own = F.col("word").rlike(_OWN_SCRIPT)
     lost = words.filter(F.col("word").contains(LOST)).select("word", "docs")
     forms = words.mapInArrow(_forms, "word string, original string, original_docs bigint")
     pairs = forms.join(words, "word").groupBy("word", "docs", "original").agg(F.max("original_docs").alias("n"))
@@ -168,7 +193,8 @@ def garbled_words(words: DataFrame) -> DataFrame:
     broken = F.col("word").contains(LOST)
     better = broken | (F.col("odd2") < F.col("odd")) | ((F.col("odd2") == F.col("odd")) & (F.col("n") > 2 * F.col("docs")) & (F.length("word") > 2))
     best = (
-        weighed.filter(better)
+        weighed.withColumn("maybe", own & (F.col("odd2") == 0) & (F.col("n") > F.col("docs")))
+        .filter(better & ~own | F.col("maybe"))
         .groupBy("word")
         .agg(
             F.min_by("original", F.struct("odd2", -F.col("n"), "original")).alias("original"),
@@ -176,33 +202,43 @@ def garbled_words(words: DataFrame) -> DataFrame:
         )
         .select("word", F.when(~broken | (F.col("ways") == 1), F.col("original")).alias("original"))
     )
-    return lost.select("word").unionByName(best.select("word")).distinct().join(best, "word", "left")
+    named = lost.select("word").unionByName(best.select("word")).unionByName(words.filter(own).select("word")).distinct()
+    return named.join(best, "word", "left").withColumn("sure", ~own)
 
 
-def garbled_map(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(record, field, word, original) of every garbled word of a record, and the records' words as stored."""
+def garbled_map(records: DataFrame) -> DataFrame:
+    """(record, field, word, original, sure) of every word of a record that is garbled, or may be (``garbled_words``)."""
     stored = materialise(records_words(records), "words")
     each = stored.select("record", "field", F.explode("words").alias("word"))
     counted = materialise(each.groupBy("word").agg(F.count("*").alias("docs")), "vocabulary")
-    found = materialise(garbled_words(counted), "garbled")
-    return each.join(found, "word"), stored
+    return each.join(materialise(garbled_words(counted), "garbled"), "word")
 
 
 def garbled_records(records: DataFrame) -> DataFrame:
     """record, field of the garbled records, restorable or not; ``records``: record, field, text."""
-    return garbled_map(records)[0].select("record", "field").distinct()
+    return garbled_map(records).filter("sure").select("record", "field").distinct()
 
 
 def restored_text(records: DataFrame) -> DataFrame:
-    """record, field, text, restored of the garbled records; ``complete`` tells whether every word was restored."""
-    per = (
-        garbled_map(records)[0]
+    """record, field, text, restored of the garbled records; ``complete`` tells whether every garbled word was restored.
+
+    Words wholly in another script are restored where the record has sure ones and all its words of that kind can be.
+    """
+    swap = lambda sure: F.collect_list(F.when(F.col("original").isNotNull() & sure, F.struct("word", "original")))
+    per = materialise(  # its size is known from here on, so while it is small no text is shuffled to meet it
+        garbled_map(records)
         .distinct()
         .groupBy("record", "field")
         .agg(
-            F.map_from_entries(F.collect_list(F.when(F.col("original").isNotNull(), F.struct("word", "original")))).alias("swaps"),
-            F.bool_and(F.col("original").isNotNull()).alias("complete"),
+            swap(F.col("sure")).alias("sure_swaps"),
+            swap(~F.col("sure")).alias("others"),
+            F.bool_or("sure").alias("garbled"),
+            F.bool_and(F.col("sure") | F.col("original").isNotNull()).alias("all_others"),
+            F.bool_and(~F.col("sure") | F.col("original").isNotNull()).alias("complete"),
         )
+        .filter("garbled")
+        .select("record", "field", F.map_from_entries(F.when(F.col("all_others"), F.concat("sure_swaps", "others")).otherwise(F.col("sure_swaps"))).alias("swaps"), "complete"),
+        "swaps",
     )
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,8 +253,8 @@ def restored_text(records: DataFrame) -> DataFrame:
 
     return (
         records.select("record", "field", "text")
-        .distinct()
         .join(per, ["record", "field"])
+        .dropDuplicates(["record", "field", "text"])  # of the garbled ones only
         .select("record", "field", "text", "swaps", "complete")
         .mapInArrow(kernel, "record string, field string, text string, restored string, complete boolean")
     )
@@ -228,5 +264,3 @@ def mail_records(messages: DataFrame, documents: DataFrame) -> DataFrame:
     """Subjects of messages and bodies of search documents, as records."""
     row = lambda i, field, text: (F.col(i).alias("record"), F.lit(field).alias("field"), F.col(text).alias("text"))
     return messages.select(*row("id", "subject", "subject")).unionByName(documents.select(*row("message_id", "body", "body")))
-
-

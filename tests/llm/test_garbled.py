@@ -51,3 +51,18 @@ def test_way_back(word):
         bad = garbled.garble(word, chain)
         if bad and garbled.LOST not in bad and bad != word:
             assert garbled.ungarble(bad, chain) == word
+
+
+def test_other_scripts_are_left_alone(spark):
+    """Clean text in another script is no garbled text, whatever single letters the corpus holds elsewhere."""
+    clean = ["Он и она к нам у дома", "Ελλάδα και φως", "může škola žít v Łodzi", "日本 の 本", "Şehir içinde güzel"]
+    rows = [(f"c{k}", "body", clean[k % len(clean)]) for k in range(20)] + [(f"w{k}", "body", "è ê ó à é ú í il è là") for k in range(60)]
+    rows += [("g1", "body", garble_text("für die Prüfung", (("utf-8", "cp1251"),))), ("k", "body", "für die Prüfung")]
+    df = spark.createDataFrame(rows, "record string, field string, text string")
+    assert {r.record for r in garbled.garbled_records(df).collect()} == {"g1"}
+    assert [r.restored for r in garbled.restored_text(df).collect()] == ["für die Prüfung"]
+
+
+def test_oddity_goes_by_script():
+    assert garbled.oddity("она") == garbled.oddity("φως") == garbled.oddity("škola") == garbled.oddity("Łódź") == 0
+    assert garbled.oddity("fГјr") > 0 and garbled.oddity("f├╝r") > 0 and garbled.oddity("Ãšltimo") > 0

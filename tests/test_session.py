@@ -24,3 +24,40 @@ def test_named_folder(spark, tmp_path_factory):
 
     assert scratch_path(spark, "a").startswith(checkpoint_root(spark)) and "checkpoints" in checkpoint_root(spark)
     assert spread(spark.range(10).coalesce(1)).rdd.getNumPartitions() == 4
+
+
+def test_a_cluster_without_a_named_folder_is_refused():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from postmill.session import checkpoint_root
+
+    conf = SimpleNamespace(get=lambda *_: None)
+    bare = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(getConf=lambda: conf, getCheckpointDir=lambda: None, master="spark://x:7077", applicationId="a"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        checkpoint_root(bare)
+
+
+def test_building_a_spread_plan_runs_nothing(spark):
+    from postmill.session import spread
+
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("spread", "spread")
+    df = spark.range(1000).selectExpr("id % 7 as k").groupBy("k").count()
+    seen = len(tracker.getJobIdsForGroup("spread"))
+    spread(df)
+    assert len(tracker.getJobIdsForGroup("spread")) == seen
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_scratch_is_removed(spark):
+    from postmill import session
+
+    kept, session._SCRATCH[:] = list(session._SCRATCH), []
+    path = session.scratch_path(spark, "gone")
+    spark.range(3).write.parquet(path)
+    assert session.list_files(spark, path)
+    session.clear_scratch()
+    assert session.list_files(spark, path) == []
+    session._SCRATCH[:] = kept

@@ -29,9 +29,9 @@ def stat(blobs: DataFrame, wanted: list[str] | None = None) -> DataFrame:
     return rows if wanted is None else rows.filter(F.col("id").isin(wanted))
 
 
-def broken(blobs: DataFrame) -> DataFrame:
-    """Blobs whose content does not match their id."""
-    return blobs.filter(~F.col("id").eqNullSafe(blob_id(F.col("bytes")))).select("id")
+def broken(blobs: DataFrame, *keep: str) -> DataFrame:
+    """Ids of the blobs whose content does not match them, with further columns to ``keep``."""
+    return blobs.filter(~F.col("id").eqNullSafe(blob_id(F.col("bytes")))).select("id", *keep)
 
 
 def garbage(blobs: DataFrame, messages: DataFrame) -> DataFrame:

@@ -6,23 +6,32 @@ a rebuild and an incremental overwrite give the same rows, in whatever order the
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postmill.operators.changes import facets, merge, message_changes
 from postmill.schemas import valid_event
+from postmill.session import materialise
 
 
 def append(log: DataFrame, entries: DataFrame) -> DataFrame:
     """``entries`` with the next sequence numbers, in order of ``position``; an invalid one fails the whole batch.
 
-    One writer per log: the numbers are dense over the batch, which is small next to the log.
+    One writer per log. The batch is sorted by range and numbered range by range: what is gathered is one count a partition.
     """
     start = log.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("m")).first()[0]
     checked = entries.withColumn(
         "type", F.when(valid_event(F.col("type"), F.col("payload")), F.col("type")).otherwise(F.raise_error(F.concat(F.lit("input.invalid: "), F.coalesce("type", F.lit("null")))))
     )
-    return checked.withColumn("seq", F.lit(start) + F.row_number().over(Window.orderBy("position"))).drop("position")
+    ordered = materialise(checked.repartitionByRange("position").sortWithinPartitions("position").withColumn("_at", F.monotonically_increasing_id()), "append")
+    place = F.shiftright("_at", 33)  # the partition; the rest is the row's number in it
+    counts = ordered.groupBy(place.alias("p")).count().orderBy("p").collect()
+    before, offsets = start, []
+    for r in counts:
+        offsets.append((r["p"], before))
+        before += r["count"]
+    known = F.create_map(*[F.lit(x).cast("bigint") for pair in offsets for x in pair]) if offsets else F.lit(None).cast("map<bigint,bigint>")
+    return ordered.withColumn("seq", known[place] + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).drop("position", "_at")
 
 
 def since(log: DataFrame, account: str, seq: int, limit: int = 10_000) -> DataFrame:
@@ -67,7 +76,7 @@ def replay_messages(log: DataFrame) -> DataFrame:
 
 
 def replay_mailboxes(log: DataFrame) -> DataFrame:
-    """Mailboxes whose last entry is not their removal."""
+    """Mailboxes with an upsert after their last removal: name and role of the last upsert, the account of the first since then."""
     rows = log.filter(F.col("type").isin("mailbox.upserted", "mailbox.removed")).select(
         F.coalesce(F.col("payload.mailbox.id"), F.col("payload.mailbox_id")).alias("mailbox_id"),
         "seq",
@@ -76,14 +85,24 @@ def replay_mailboxes(log: DataFrame) -> DataFrame:
         F.col("payload.mailbox.name").alias("name"),
         F.col("payload.mailbox.role").alias("role"),
     )
-    last = rows.groupBy("mailbox_id").agg(F.max_by(F.struct("removed", "account_id", "name", "role"), "seq").alias("x"))
-    return last.filter(~F.col("x.removed")).select("mailbox_id", "x.account_id", "x.name", "x.role")
+    gone = rows.groupBy("mailbox_id").agg(F.max(F.when(F.col("removed"), F.col("seq"))).alias("gone"))
+    live = rows.filter(~F.col("removed")).join(gone, "mailbox_id").filter(F.col("gone").isNull() | (F.col("seq") > F.col("gone")))
+    return live.groupBy("mailbox_id").agg(
+        F.min_by("account_id", "seq").alias("account_id"), F.max_by("name", "seq").alias("name"), F.max_by("role", "seq").alias("role")
+    )
 
 
 def replay_cursors(log: DataFrame) -> DataFrame:
-    """Last cursor of each account and collection."""
-    rows = log.filter(F.col("type") == "sync.cursor.advanced")
-    return rows.groupBy("account_id", F.col("payload.collection").alias("collection")).agg(F.max_by("payload.cursor", "seq").alias("cursor"))
+    """Last cursor of each account and collection, and when it was set (null where the entry has no time)."""
+    rows = log.filter(F.col("type") == "sync.cursor.advanced").select("seq", "account_id", "event_at", F.col("payload.collection").alias("collection"), F.col("payload.cursor").alias("cursor"))
+    return rows.groupBy("account_id", "collection").agg(F.max_by(F.struct("cursor", "event_at"), "seq").alias("x")).select(
+        "account_id", "collection", "x.cursor", F.col("x.event_at").alias("updated_at")
+    )
+
+
+def blob_sizes(log: DataFrame) -> DataFrame:
+    """blob_id and size of every blob the log says is stored."""
+    return log.filter(F.col("type") == "blob.stored").groupBy(F.col("payload.blob_id").alias("blob_id")).agg(F.max("payload.size").alias("size"))
 
 
 def conflicts(messages: DataFrame) -> DataFrame:

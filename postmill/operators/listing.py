@@ -6,7 +6,7 @@ from dataclasses import dataclass
 from datetime import datetime
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -105,7 +105,13 @@ def participants(messages: DataFrame) -> DataFrame:
     )
 
 
-def nearest_rank(values: Column, share: float) -> Column:
-    """Percentile by nearest rank: element floor(n * share) of the sorted values, the last one at most."""
-    ordered = F.array_sort(F.collect_list(values))
-    return F.element_at(ordered, F.least(F.size(ordered) - 1, F.floor(F.size(ordered) * share).cast("int")) + 1)
+def nearest_rank(rows: DataFrame, by: str, value: str, share: float) -> DataFrame:
+    """``by`` and the percentile of ``value`` by nearest rank: element floor(n * share) of the sorted values, the last one at most.
+
+    Equal values are counted first, so what is ordered within a group are its different values, each with how many lie up to it.
+    """
+    counted = rows.filter(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    total = F.sum("_n").over(Window.partitionBy(by))
+    ranked = counted.select(by, value, upto.alias("_upto"), F.least(total - 1, F.floor(total * share)).alias("_at"))
+    return ranked.filter(F.col("_upto") > F.col("_at")).groupBy(by).agg(F.min(value).alias(value))

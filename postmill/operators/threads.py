@@ -44,9 +44,11 @@ def thread_inputs(messages: DataFrame) -> DataFrame:
 
 def components(inputs: DataFrame) -> DataFrame:
     """id, component of every message: messages that share an identifier, directly or through others."""
-    mine = F.xxhash64(F.lit("message"), "account_id", "id")
+    # 128 bits: with any number of messages no two identities fall together
+    name = lambda *parts: F.unhex(F.md5(F.to_json(F.struct(*parts))))
+    mine = name(F.lit("message").alias("a"), F.col("account_id").alias("b"), F.col("id").alias("c"))
     keys = F.array_distinct(F.array_compact(F.concat(F.array("declared"), "chain")))
-    named = inputs.select(mine.alias("a"), F.explode(keys).alias("k"), "account_id").select("a", F.xxhash64("account_id", "k").alias("k"))
+    named = inputs.select(mine.alias("a"), F.explode(keys).alias("k"), "account_id").select("a", name(F.col("account_id").alias("a"), F.col("k").alias("b")).alias("k"))
     # one anchor for each identifier, its least message: identifiers are no nodes, and those of one message no edges
     anchor = named.groupBy("k").agg(F.min("a").alias("b"), F.count("*").alias("n")).filter("n > 1").drop("n")
     found = connected_components(named.join(anchor, "k").select("a", "b"))

@@ -21,8 +21,8 @@ def _named(people: Column, value: str) -> Column:
     return F.exists(people, lambda p: F.contains(F.lower(F.concat_ws(" ", p["name"], p["address"])), F.lit(value.lower())))
 
 
-def predicate(clause: Clause, mailboxes: dict[str, list[str]] | None = None) -> Column:
-    """Column for one clause, never null. ``mailboxes``: ids of the mailboxes each ``in:`` value names."""
+def predicate(clause: Clause) -> Column:
+    """Column for one clause other than ``in:``, never null."""
     v = clause.value
     low = F.lit(v.lower())
     if clause.kind == "from":
@@ -33,9 +33,6 @@ def predicate(clause: Clause, mailboxes: dict[str, list[str]] | None = None) ->
         test = F.contains(F.lower("subject"), low)
     elif clause.kind == "list":
         test = F.contains(F.lower("list_id"), low)
-    elif clause.kind == "mailbox":
-        ids = (mailboxes or {}).get(v, [])
-        test = F.arrays_overlap("mailbox_ids", F.array(*[F.lit(i) for i in ids])) if ids else F.lit(False)
     elif clause.kind == "keyword":
         test = has("keywords", v)
     elif clause.kind == "attachment":
@@ -50,14 +47,24 @@ def predicate(clause: Clause, mailboxes: dict[str, list[str]] | None = None) ->
     return ~test if clause.negated else test
 
 
-def resolve_mailboxes(mailboxes: DataFrame, account: str, clauses: list[Clause]) -> dict[str, list[str]]:
-    """Ids of the account's mailboxes by name (any case) or id, for each ``in:`` value; an account has few mailboxes."""
-    out: dict[str, list[str]] = {}
-    for value in {c.value for c in clauses if c.kind == "mailbox"}:
-        rows = mailboxes.filter((F.col("account_id") == account) & ((F.lower(F.trim("name")) == value.lower()) | (F.col("id") == value)))
-        out[value] = sorted({r["id"] for r in rows.select("id").distinct().limit(10_000).collect()})
-    return out
+def named_mailboxes(mailboxes: DataFrame, account: str, value: str) -> DataFrame:
+    """Ids of the account's mailboxes that ``in:value`` names: by name, in any case, or by id."""
+    rows = mailboxes.filter((F.col("account_id") == account) & ((F.lower(F.trim("name")) == value.lower()) | (F.col("id") == value)))
+    return rows.select(F.col("id").alias("mailbox_id")).distinct()
 
 
-def all_of(account: str, clauses: list[Clause], mailboxes: dict[str, list[str]] | None = None) -> Column:
-    return reduce(Column.__and__, [predicate(c, mailboxes) for c in clauses], F.col("account_id") == account)
+def all_of(account: str, clauses: list[Clause]) -> Column:
+    """The account and all clauses but those of mailboxes."""
+    return reduce(Column.__and__, [predicate(c) for c in clauses if c.kind != "mailbox"], F.col("account_id") == account)
+
+
+def matching(messages: DataFrame, mailboxes: DataFrame, account: str, clauses: list[Clause]) -> DataFrame:
+    """The account's messages that all clauses let through. Mailboxes are resolved by a semi join, an anti join where negated,
+    of the messages the other clauses leave; so any number of mailboxes may bear a name."""
+    rows = messages.filter(all_of(account, clauses))
+    for c in clauses:
+        if c.kind == "mailbox":
+            placed = rows.select("id", F.explode("mailbox_ids").alias("mailbox_id"))
+            held = placed.join(named_mailboxes(mailboxes, account, c.value), "mailbox_id", "left_semi").select("id").distinct()
+            rows = rows.join(held, "id", "left_anti" if c.negated else "left_semi")
+    return rows

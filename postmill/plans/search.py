@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postmill.functions.text import fold_word, tokens
-from postmill.plans.predicates import all_of, resolve_mailboxes
+from postmill.plans.predicates import matching
 from postmill.plans.query_language import Clause, Query, parse
 from postmill.session import materialise, spread
 
@@ -157,7 +157,7 @@ def search(
     wanted = [p for p in (phrase_of(c) for c in q.text if not c.negated) if p]
     unwanted = [p for p in (phrase_of(c) for c in q.text if c.negated) if p]
     filters = q.filters
-    kept = messages.filter(all_of(account, filters, resolve_mailboxes(mailboxes, account, filters)))
+    kept = matching(messages, mailboxes, account, filters)
     newest = (F.desc("received_at"), F.desc("id"))
     if not wanted:
         if unwanted and not strict_reference:

@@ -15,7 +15,7 @@ from postmill.functions import mime, provider
 from postmill.functions.subjects import base_subject, is_forward, is_reply
 from postmill.operators import blobs, event_log, intents, listing, threads
 from postmill.plans import rules, search
-from postmill.plans.predicates import all_of, resolve_mailboxes
+from postmill.plans.predicates import matching
 from postmill.plans.query_language import parse
 from postmill.schemas import value_set
 from postmill.session import materialise, table
@@ -165,7 +165,7 @@ def thread_participants(spark, d):
     "from m where size is not null group by account_id"
 )
 def size_percentile(spark, d):
-    return _messages(spark, d).filter("size is not null").groupBy("account_id").agg(listing.nearest_rank(F.col("size"), 0.95).alias("p95_size"))
+    return listing.nearest_rank(_messages(spark, d), "account_id", "size", 0.95).withColumnRenamed("size", "p95_size")
 
 
 # --- log and replay ---------------------------------------------------------------------------------------------------
@@ -225,21 +225,32 @@ def replay_keywords(spark, d):
     """with x as (
   select coalesce(payload.mailbox.id, payload.mailbox_id) as mailbox_id, seq, type, account_id, payload.mailbox.name as name, payload.mailbox.role as role
   from event_log where type in ('mailbox.upserted', 'mailbox.removed')
-), l as (select * from x qualify row_number() over (partition by mailbox_id order by seq desc) = 1)
-select mailbox_id, account_id, name, role from l where type = 'mailbox.upserted'"""
+), gone as (select mailbox_id, max(seq) as r from x where type = 'mailbox.removed' group by 1),
+l as (select distinct x.* from x left join gone using (mailbox_id) where type = 'mailbox.upserted' and seq > coalesce(r, -1))
+select mailbox_id, arg_min(account_id, seq) as account_id, arg_max(name, seq) as name, arg_max(role, seq) as role from l group by mailbox_id"""
 )
 def replay_mailboxes(spark, d):
+    """Account of the first upsert after the last removal, the rest of the last one (the rule for a conflict by id)."""
     return event_log.replay_mailboxes(_log(spark, d))
 
 
-@query('select account_id, payload.collection as collection, arg_max(payload."cursor", seq) as "cursor" from event_log where type = \'sync.cursor.advanced\' group by 1, 2')
+@query(
+    'with x as (select distinct account_id, payload.collection as collection, seq, payload."cursor" as c, event_at from event_log where type = \'sync.cursor.advanced\') '
+    'select account_id, collection, (arg_max({c: c}, seq)).c as "cursor", epoch_us((arg_max({e: event_at}, seq)).e) as updated_at from x group by 1, 2'
+)
 def replay_cursor(spark, d):
-    return event_log.replay_cursors(_log(spark, d))
+    return event_log.replay_cursors(_log(spark, d)).withColumn("updated_at", _us("updated_at"))
 
 
-@query(f"with {M} select account_id, provider_id, count(distinct id) as n, min(id) as first, max(id) as last from m group by 1, 2 having count(distinct id) > 1")
+@query(
+    f"""with {M}, p as (select account_id, provider_id, id from m union all select account_id, provider_id, id || ':again' from m where provider_id like '%7')
+select account_id, provider_id, count(distinct id) as n, min(id) as first, max(id) as last from p group by 1, 2 having count(distinct id) > 1"""
+)
 def replay_conflicts(spark, d):
-    return event_log.conflicts(_messages(spark, d).withColumnRenamed("id", "message_id"))
+    """Ids claimed twice are found; messages whose provider id ends in 7 are planted a second time under another id."""
+    m = _messages(spark, d).select("account_id", "provider_id", F.col("id").alias("message_id"))
+    planted = m.filter(F.col("provider_id").endswith("7")).withColumn("message_id", F.concat("message_id", F.lit(":again")))
+    return event_log.conflicts(m.unionByName(planted))
 
 
 @query()
@@ -268,9 +279,7 @@ def replay_snapshot(spark, d):
 
 def _filtered(text: str, sql: str, name: str) -> None:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        clauses = parse(text).filters
-        named = resolve_mailboxes(_mailboxes(spark, d), ACCOUNT, clauses)
-        return _messages(spark, d, ACCOUNT).filter(all_of(ACCOUNT, clauses, named)).select("id")
+        return matching(_messages(spark, d, ACCOUNT), _mailboxes(spark, d), ACCOUNT, parse(text).filters).select("id")
 
     QUERIES[name] = run
     SQL[name] = f"with {M}, {B} select id from m where account_id = '{ACCOUNT}' and ({sql})"
@@ -290,6 +299,10 @@ _filtered("list:lists", "contains(lower(coalesce(list_id, '')), 'lists')", "filt
 _filtered(
     "in:Archive", f"list_has_any(coalesce(mailbox_ids, []), (select coalesce(list(id), []) from b where account_id = '{ACCOUNT}' and (lower(name) = 'archive' or id = 'Archive')))", "filter_in"
 )
+_filtered(
+    "-in:Archive -in:inbox", "not list_has_any(coalesce(mailbox_ids, []), (select coalesce(list(id), []) from b "
+    f"where account_id = '{ACCOUNT}' and (lower(name) in ('archive', 'inbox') or id in ('Archive', 'inbox'))))", "filter_not_in"
+)
 _filtered("is:unread", "not coalesce(list_contains(keywords, '$seen'), false)", "filter_is")
 _filtered("has:attachment", "coalesce(has_attachment, false)", "filter_has")
 _filtered("before:2026-03", "received_at < timestamptz '2026-03-01 00:00:00+00'", "filter_before")
@@ -464,7 +477,23 @@ def thread_jwz(spark, d):
     return t.select("account_id", "thread_id", "subject", "message_count", _us("last_message_at"), F.array_join("message_ids", " ").alias("message_ids"))
 
 
-@query()
+_KEY = r"nullif(lower(regexp_replace(x, '^[\s<]+|[\s>]+$', '', 'g')), '')"
+
+
+@query(
+    rf"""with recursive {M}, raw as (
+  select account_id, id, message_id_header as own, list_concat(coalesce(refs, []), coalesce(in_reply_to, [])) as others from m
+), first_own as (
+  select account_id, id, (list_filter(list_transform(coalesce(own, []), lambda x: {_KEY}), lambda x: x is not null))[1] as k from raw
+), keys as (
+  select account_id, id, k from first_own where k is not null
+  union select account_id, id, {_KEY.replace("x,", "o,")} from (select account_id, id, unnest(others) as o from raw) where {_KEY.replace("x,", "o,")} is not null
+), links as (select distinct a.account_id, a.id as a, b.id as b from keys a join keys b on a.account_id = b.account_id and a.k = b.k and a.id <> b.id),
+reach(account_id, a, b) as (
+  select account_id, id, id from m union select r.account_id, r.a, l.b from reach r join links l on l.account_id = r.account_id and l.a = r.b
+), named as (select account_id, a, min(b) as first_id from reach group by all)
+select account_id, count(*) as messages, first_id from named group by account_id, first_id"""
+)
 def thread_components(spark, d):
     c = threads.components(threads.thread_inputs(_messages(spark, d)))
     return c.groupBy("account_id", "component").agg(F.count("*").alias("messages"), F.min("id").alias("first_id")).drop("component")
@@ -498,24 +527,34 @@ def preview_html(spark, d):
     return _documents(spark, d).select("message_id", mime.preview(F.lit(None).cast("string"), html).alias("preview"))
 
 
+_PARTS = "right(message_id, 1) in ('2', '5', '8')"
+
+
 @query(
     f"""with {D} select message_id as id, coalesce(subject, '') as subject, message_id as declared, 'a@x.test' as sender, octet_length(encode(coalesce(body, '')))::bigint as text_bytes,
- 'text/plain' as structure, false as has_attachment from d"""
+ case when {_PARTS} then 'multipart/mixed multipart/alternative text/plain text/html application/pdf' else 'text/plain' end as structure, {_PARTS} as has_attachment,
+ case when {_PARTS} then octet_length(encode(message_id))::bigint else 0 end as attached_bytes from d"""
 )
 def mime_parse(spark, d):
-    """Messages written in the JVM (encoded subject, base64 body) and read by the parser."""
+    """Messages written in the JVM (encoded subject, base64 body; some with an alternative and an attachment) and read by the parser."""
     b64 = lambda c: F.regexp_replace(F.base64(F.encode(F.coalesce(c, F.lit("")), "utf-8")), r"[\r\n]", "")
-    raw = F.concat(
-        F.lit("From: A <a@x.test>\r\nTo: friends: b@x.test, c@x.test;\r\nDate: Mon, 5 Jan 2026 10:00:00 +0530\r\nMessage-ID: <"), F.col("message_id"), F.lit(">\r\nSubject: =?utf-8?B?"), b64("subject"),
-        F.lit("?=\r\nContent-Type: text/plain; charset=utf-8\r\nContent-Transfer-Encoding: base64\r\n\r\n"), b64("body"), F.lit("\r\n"),
+    head = F.concat(
+        F.lit("From: A <a@x.test>\r\nTo: friends: b@x.test, c@x.test;\r\nDate: Mon, 5 Jan 2026 10:00:00 +0530\r\nMessage-ID: <"), F.col("message_id"), F.lit(">\r\nSubject: =?utf-8?B?"), b64("subject"), F.lit("?=\r\n"),
     )
+    text = F.concat(F.lit("Content-Type: text/plain; charset=utf-8\r\nContent-Transfer-Encoding: base64\r\n\r\n"), b64("body"), F.lit("\r\n"))
+    mixed = F.concat(
+        F.lit('Content-Type: multipart/mixed; boundary="m1"\r\n\r\n--m1\r\nContent-Type: multipart/alternative; boundary="a1"\r\n\r\n--a1\r\n'), text,
+        F.lit("--a1\r\nContent-Type: text/html; charset=utf-8\r\n\r\n<p>other form</p>\r\n--a1--\r\n--m1\r\nContent-Type: application/pdf; name=a.pdf\r\n"
+              "Content-Disposition: attachment; filename=a.pdf\r\nContent-Transfer-Encoding: base64\r\n\r\n"), b64(F.col("message_id")), F.lit("\r\n--m1--\r\n"),
+    )
+    raw = F.concat(head, F.when(F.substring("message_id", -1, 1).isin("2", "5", "8"), mixed).otherwise(text))
     parsed = mime.parse(_documents(spark, d).select(F.col("message_id").alias("id"), raw.cast("binary").alias("bytes")), NOW)
     body = F.octet_length(F.coalesce("text", F.lit("")))
     crlf = F.size(F.regexp_extract_all(F.coalesce("body", F.lit("")), F.lit("\r\n"), F.lit(0)))
     sizes = _documents(spark, d).select(F.col("message_id").alias("id"), crlf.alias("crlf"))
     return parsed.join(sizes, "id").select(
         "id", "subject", F.col("message_id_header")[0].alias("declared"), F.col("from_addr")[0]["address"].alias("sender"), (body + F.col("crlf")).cast("bigint").alias("text_bytes"),
-        F.array_join("structure", " ").alias("structure"), "has_attachment",
+        F.array_join("structure", " ").alias("structure"), "has_attachment", F.coalesce(F.get("attachments", F.lit(0))["size"], F.lit(0)).cast("bigint").alias("attached_bytes"),
     )
 
 
@@ -526,14 +565,14 @@ def blob_put(spark, d):
     return blobs.put(stored, contents).select("id", "size")
 
 
-@query(f"with {D} select 'sha256:' || sha256(body) as id, message_id from d where body is not null and message_id like '%7'")
+@query(f"with {D} select distinct message_id || ' sha256:' || sha256(body) as id from d where body is not null and message_id like '%7'")
 def blob_verify(spark, d):
-    """Blobs spoilt in one byte are found, sound ones are not."""
+    """Of all blobs, those spoilt in one byte are found and no sound one is."""
     rows = _documents(spark, d).filter("body is not null").select("message_id", F.encode("body", "utf-8").alias("good"))
-    good = F.concat(F.lit("sha256:"), F.sha2("good", 256))
-    stored = rows.select("message_id", good.alias("id"), F.when(F.col("message_id").endswith("7"), F.concat(F.col("good"), F.lit("!").cast("binary"))).otherwise(F.col("good")).alias("bytes"))
-    bad = blobs.broken(stored).distinct()
-    return stored.filter(F.col("message_id").endswith("7")).join(bad, "id", "left_semi").select("id", "message_id")
+    bad = F.col("message_id").endswith("7")
+    # the owner's name stands before the digest, so equal contents are blobs of their own
+    stored = rows.select("message_id", F.concat(F.lit("sha256:"), F.sha2("good", 256)).alias("id"), F.when(bad, F.concat(F.col("good"), F.lit("!").cast("binary"))).otherwise(F.col("good")).alias("bytes"))
+    return blobs.broken(stored, "message_id").select(F.concat_ws(" ", "message_id", "id").alias("id")).distinct()
 
 
 @query(f"with {M} select distinct payload.blob_id as id from event_log where type = 'blob.stored' and payload.blob_id not in (select blob_id from m where blob_id is not null)")
@@ -593,8 +632,22 @@ def intents_update(spark, d):
     return intents.update(log, done).select("id", "state")
 
 
-@query()
+@query(
+    f"""with {M}, {_I}, k as (
+  select account_id, payload.message_id as id, flatten(list(coalesce(payload.keywords, []))) as adds, arg_max(list_contains(coalesce(payload.keywords, []), '$seen'), seq) as seen
+  from i where type = 'message.keywords.set' group by all
+), b as (select account_id, payload.message_id as id, flatten(list(coalesce(payload.mailbox_ids, []))) as adds from i where type = 'message.mailboxes.set' group by all),
+gone as (select distinct account_id, payload.message_id as id from i where type = 'message.removed'),
+sets as (
+  select k.account_id, k.id, 'message.keywords.set' as type, list_sort(list_distinct(coalesce(m.keywords, []))) as v0,
+    list_sort(list_distinct(list_concat(list_filter(list_concat(coalesce(m.keywords, []), adds), lambda x: x <> '$seen'), case when seen then ['$seen'] else [] end))) as v from k join m on m.id = k.id
+  union all select b.account_id, b.id, 'message.mailboxes.set', list_sort(list_distinct(coalesce(m.mailbox_ids, []))), list_sort(list_distinct(list_concat(coalesce(m.mailbox_ids, []), adds))) from b join m on m.id = b.id
+)
+select account_id, id as message_id, type, array_to_string(v, ',') as "values" from sets s where v <> v0 and not exists (from gone g where g.account_id = s.account_id and g.id = s.id)
+union all select g.account_id, g.id, 'message.removed', '' from gone g join m on m.id = g.id"""
+)
 def optimistic_apply(spark, d):
+    """Every intent on keywords also takes $seen away, so the fold's result has a closed form for the SQL."""
     e = intents.local_events(_intents(spark, d), _messages(spark, d))
     return e.select("account_id", "message_id", "type", F.array_join(F.coalesce("values", F.array().cast("array<string>")), ",").alias("values"))
 
@@ -624,7 +677,16 @@ def _changes(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(F.col("payload.message_id").alias("provider_id"), kinds.alias("kind"))
 
 
-_C = "c as (select payload.message_id as provider_id, bool_or(type = 'message.removed') as destroyed from event_log where type like 'message.%' and batch_no <= 40 group by 1)"
+_C = "c as (select payload.message_id as provider_id, bool_or(type = 'message.removed') as destroyed from event_log where type like 'message.%' group by 1)"
+
+
+@query(
+    f"with x as (select distinct on (seq) seq, payload.message_id as provider_id, type from event_log where account_id = '{ACCOUNT}' and type like 'message.%' and seq > 700) "
+    "select seq, provider_id, case type when 'message.removed' then 'destroyed' when 'message.observed' then 'created' else 'updated' end as kind from x order by seq limit 100"
+)
+def tail_page(spark, d):
+    """A tail pass's page: what comes after a cursor, up to a limit."""
+    return sync.page(_log(spark, d), ACCOUNT, 700, 100)
 
 
 @query(f"with {_C} select provider_id, destroyed from c")
@@ -718,14 +780,30 @@ def keyword_patch(spark, d):
     return _messages(spark, d).select("id", F.explode(patch).alias("pointer", "adds"))
 
 
+_ERRORS = (
+    "rateLimit serverFail serverPartialFail serverUnexpected stateMismatch cannotCalculateChanges tooManyChanges unauthorized forbidden accountReadOnly overQuota notFound accountNotFound "
+    "accountNotSupportedByMethod unknownMethod unknownCapability unsupportedFilter unsupportedSort singleton invalidArguments invalidPatch invalidProperties invalidResultReference alreadyExists "
+    "willDestroy tooLarge requestTooLarge urn:ietf:params:jmap:error:limit urn:ietf:params:jmap:error:unauthorized urn:ietf:params:jmap:error:forbidden urn:ietf:params:jmap:error:limit:maxSizeRequest neverHeardOf"
+)
+
+
 @query(
-    "select distinct type, case type when 'sync.cursor.advanced' then 'permanent' when 'message.removed' then 'conflict' when 'mailbox.removed' then 'auth' else 'transient' end as kind, "
-    "case type when 'sync.cursor.advanced' then 'rejected' when 'message.removed' then 'unknown' when 'mailbox.removed' then 'rejected' when 'message.observed' then 'applied' else 'unknown' end as outcome from event_log"
+    f"""with t as (select unnest(string_split('{_ERRORS}', ' ')) as type), k as (select type, case
+  when type in ('stateMismatch', 'cannotCalculateChanges', 'tooManyChanges') then 'conflict'
+  when type in ('unauthorized', 'forbidden', 'accountReadOnly') or type like '%error:unauthorized' or type like '%error:forbidden' then 'auth'
+  when type like 'rate%' or type like 'server%' or type like '%error:limit' or type = 'neverHeardOf' then 'transient' else 'permanent' end as kind,
+ case when type = 'rateLimit' or type like '%error:limit' then 'net.rate_limited' when type like 'server%' or type = 'neverHeardOf' then 'provider.server_error'
+  when type = 'stateMismatch' then 'sync.state_mismatch' when type in ('cannotCalculateChanges', 'tooManyChanges') then 'sync.cursor_invalid'
+  when type like '%unauthorized' then 'auth.unauthenticated' when type like '%forbidden' or type = 'accountReadOnly' then 'auth.forbidden' when type = 'overQuota' then 'provider.over_quota'
+  when type = 'notFound' then 'resource.not_found' when type like 'account%' or type like 'unknown%' or type like 'unsupported%' or type = 'singleton' then 'provider.unsupported' else 'input.invalid' end as code from t)
+select type, kind, code, case when kind in ('transient', 'conflict') then 'unknown' else 'rejected' end as outcome,
+ case when type = 'notFound' then 'applied' when kind in ('transient', 'conflict') then 'unknown' else 'rejected' end as destroyed from k"""
 )
 def error_kinds(spark, d):
-    names = F.when(F.col("type") == "sync.cursor.advanced", "overQuota").when(F.col("type") == "message.removed", "stateMismatch").when(F.col("type") == "mailbox.removed", "forbidden").otherwise("serverFail")
-    failure = F.when(F.col("type") != "message.observed", names)
-    return _log(spark, d).select("type").distinct().select("type", provider.error_kind(names).alias("kind"), provider.outcome(F.lit(False), failure).alias("outcome"))
+    """All error types of the provider protocol and one nobody knows: kind, code, and what becomes of a change and of a destroy."""
+    rows = spark.range(1).select(F.explode(F.split(F.lit(_ERRORS), " ")).alias("type"))
+    t = F.col("type")
+    return rows.select("type", provider.error_kind(t).alias("kind"), provider.error_code(t).alias("code"), provider.outcome(F.lit(False), t).alias("outcome"), provider.outcome(F.lit(True), t).alias("destroyed"))
 
 
 @query(

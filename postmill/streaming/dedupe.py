@@ -122,8 +122,17 @@ def unique_messages(spark: SparkSession, path: str, **options) -> DataFrame:
     return messages.drop("class_id", "deliveries").join(kept.select("delivery_id", "class_id", "deliveries"), "delivery_id")
 
 
+def class_sizes(named: DataFrame) -> DataFrame:
+    """class_id, deliveries of the classes of two or more: the duplicates without a row for each pair."""
+    return named.groupBy("class_id").agg(F.count("*").alias("deliveries")).filter("deliveries > 1")
+
+
 def duplicate_pairs(named: DataFrame) -> DataFrame:
-    """All pairs of deliveries of one class, the smaller id first."""
-    left = named.select("class_id", F.col("delivery_id").alias("delivery_id_1"))
-    right = named.select("class_id", F.col("delivery_id").alias("delivery_id_2"))
+    """All pairs of deliveries of one class, the smaller id first. Only classes of two or more meet themselves.
+
+    The pairs of a class of n are n(n-1)/2 rows; where that is too many, ``class_sizes`` and the classes themselves say the same.
+    """
+    several = materialise(named.join(class_sizes(named).select("class_id"), "class_id", "left_semi"), "several")
+    left = several.select("class_id", F.col("delivery_id").alias("delivery_id_1"))
+    right = several.select("class_id", F.col("delivery_id").alias("delivery_id_2"))
     return left.join(right, "class_id").filter("delivery_id_1 < delivery_id_2").select("delivery_id_1", "delivery_id_2")

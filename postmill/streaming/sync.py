@@ -20,6 +20,16 @@ READ_BUDGET = 8
 MAX_ROUNDS = 40
 
 
+def page(log: DataFrame, account: str, cursor: int = 0, limit: int = 500) -> DataFrame:
+    """One page of an account's message changes: seq, provider_id, kind of the first ``limit`` sequence numbers after ``cursor``, each once.
+
+    The next page goes on from the greatest seq of this one; an empty page is the end.
+    """
+    kinds = F.when(F.col("type") == "message.removed", "destroyed").when(F.col("type") == "message.observed", "created").otherwise("updated")
+    rows = log.filter((F.col("account_id") == account) & (F.col("seq") > cursor) & F.col("type").startswith("message."))
+    return rows.select("seq", F.col("payload.message_id").alias("provider_id"), kinds.alias("kind")).dropDuplicates(["seq"]).orderBy("seq").limit(limit)
+
+
 def collapse(changes: DataFrame) -> DataFrame:
     """provider_id, destroyed: each id of a page once; a removal wins over any other change of it."""
     return changes.groupBy("provider_id").agg(F.bool_or(F.col("kind") == "destroyed").alias("destroyed"))

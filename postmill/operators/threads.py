@@ -7,12 +7,12 @@
    that is none, or, where all are replies, to the first. Forwards take no part. This is an aggregate and a join.
 4. Members, participants, counts and ids are aggregates.
 
-Step 2 holds one component in a task (a conversation, not an account).
+Step 2 holds one component in a task at a time (a conversation, not an account).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -57,117 +57,126 @@ def components(inputs: DataFrame) -> DataFrame:
     )
 
 
-class _Node:
-    __slots__ = ("name", "message", "parent", "children", "born")
-
-    def __init__(self, name: str, born: tuple) -> None:
-        self.name, self.born = name, born
-        self.message: dict | None = None
-        self.parent: _Node | None = None
-        self.children: list[_Node] = []
-
-
-def _adopt(parent: _Node, child: _Node) -> None:
-    """First parent wins; a link that would close a loop is refused."""
-    if child.parent is not None:
-        return
-    above: _Node | None = parent
-    while above is not None:
-        if above is child:
-            return
-        above = above.parent
-    child.parent = parent
-    parent.children.append(child)
-
-
-def _drop_empty(root: _Node) -> None:
-    """Children first: empty leaves vanish, an empty inner node hands its children to its parent."""
-    order, todo = [], [root]
-    while todo:
-        node = todo.pop()
-        order.append(node)
-        todo.extend(node.children)
-    for node in reversed(order):
-        if node.message is not None:
-            continue
-        parent = node.parent
-        if parent is None:
-            continue
-        parent.children.remove(node)
-        for child in node.children:
-            child.parent = parent
-            parent.children.append(child)
-        node.parent, node.children = None, []
-
-
-def link_messages(messages: list[dict]) -> list[tuple[_Node, tuple]]:
-    """Roots that hold messages, with their creation keys; ``messages`` belong to one component."""
-    table: dict[str, _Node] = {}
+class Forest:
+    """Containers of one component, by number: names, messages, parents, and a shortcut to the root of each.
+
+    A container without a parent is the root of its tree, so a link closes a loop just where the child is the root of the parent's tree;
+    the shortcuts are halved on the way, so asking for a root takes near constant time however deep the tree.
+    """
+
+    def __init__(self) -> None:
+        self.number: dict[str, int] = {}
+        self.names: list[str] = []
+        self.born: list[tuple] = []
+        self.message: list[dict | None] = []
+        self.parent: list[int] = []
+        self.short: list[int] = []
+        self.linked: list[int] = []  # children in the order they were linked, which is that of siblings
+
+    def container(self, name: str, born: tuple) -> int:
+        k = self.number.setdefault(name, len(self.names))
+        if k == len(self.names):
+            self.names.append(name)
+            self.born.append(born)
+            self.message.append(None)
+            self.parent.append(-1)
+            self.short.append(k)
+        return k
+
+    def root(self, k: int) -> int:
+        short = self.short
+        while short[k] != k:
+            short[k] = short[short[k]]
+            k = short[k]
+        return k
+
+    def link(self, parent: int, child: int) -> None:
+        """First parent wins; a link that would close a loop is refused."""
+        if self.parent[child] < 0 and self.root(parent) != child:
+            self.parent[child] = self.short[child] = parent
+            self.linked.append(child)
+
+    def add(self, m: dict) -> None:
+        """Take the next message (in order of received_at and id): claim its own container and link its chain down to it."""
+        first = len(self.names)
+        at = lambda: (m["received_at"], m["id"], len(self.names) - first)
+        own = m["declared"]
+        taken = own is None or own in self.number and self.message[self.number[own]] is not None
+        mine = self.container(f"local:{m['id']}" if taken else own, at())
+        self.message[mine] = m
+        chain = [self.container(name, at()) for name in m["chain"]]
+        for parent, child in zip(chain, [*chain[1:], mine]):
+            self.link(parent, child)
+
+    def trees(self) -> list[tuple[int, int, dict | None, dict | None, list[dict]]]:
+        """(root container, the one that stands for it, its message, the first message right below it, all messages) of every tree that holds messages.
+
+        Empty containers below the root give their children to the next one above that stays; an empty root with just one child that
+        remains is replaced by it, and keeps its own place in the order.
+        """
+        n = len(self.names)
+        kids: list[list[int]] = [[] for _ in range(n)]
+        for k in self.linked:
+            kids[self.parent[k]].append(k)
+        out = []
+        for top in (k for k in range(n) if self.parent[k] < 0):
+            order, todo = [], [top]
+            while todo:
+                k = todo.pop()
+                order.append(k)
+                todo.extend(kids[k])
+            held: dict[int, list[int]] = {}  # of each container, the nearest ones below with a message
+            for k in reversed(order):
+                filled = [c for c in kids[k] if self.message[c] is not None]
+                held[k] = filled + [x for c in kids[k] if self.message[c] is None for x in held.pop(c)]  # those handed up come last
+            members = [self.message[k] for k in order if self.message[k] is not None]
+            if not members:
+                continue
+            head = top
+            if self.message[top] is None and len(held[top]) == 1:
+                head = held[top][0]
+            first = self.message[held[head][0]] if held[head] else None
+            out.append((top, head, self.message[head], first, members))
+        return out
+
+
+def linked(messages: Iterable[dict]) -> Forest:
+    """The forest of one component's messages."""
+    forest = Forest()
     for m in sorted(messages, key=lambda m: (m["received_at"], m["id"])):
-        count = 0
+        forest.add(m)
+    return forest
 
-        def node_for(name: str, m: dict = m) -> _Node:
-            nonlocal count
-            if name not in table:
-                table[name] = _Node(name, (m["received_at"], m["id"], count))
-                count += 1
-            return table[name]
 
-        own = m["declared"]
-        mine = node_for(f"local:{m['id']}") if own is None or own in table and table[own].message is not None else node_for(own)
-        mine.message = m
-        before: _Node | None = None
-        for name in m["chain"]:
-            node = node_for(name)
-            if before is not None:
-                _adopt(before, node)
-            before = node
-        if before is not None:
-            _adopt(before, mine)
-    out = []
-    for root in [n for n in table.values() if n.parent is None]:
-        _drop_empty(root)
-        if root.message is None and len(root.children) == 1:
-            only = root.children[0]
-            only.parent = None
-            out.append((only, root.born))
-        elif root.message is not None or root.children:
-            out.append((root, root.born))
-    return out
-
-
-def _members(root: _Node) -> list[dict]:
-    found, todo = [], [root]
-    while todo:
-        node = todo.pop()
-        if node.message is not None:
-            found.append(node.message)
-        todo.extend(node.children)
-    return found
+def _roots(group: list[dict]) -> Iterator[tuple]:
+    forest = linked(group)
+    for top, head, message, first, members in forest.trees():
+        own = message["subject"] if message is not None else None
+        grouping = own if own is not None else first["subject"] if first else ""
+        yield from ((m["id"], forest.names[head], *forest.born[top], grouping, own) for m in members)
 
 
 def _kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    groups: dict = {}
-    for b in batches:
-        for m in b.to_pylist():
-            groups.setdefault(m["component"], []).append(m)
+    """One component after the other; the rows come sorted by component, so a task holds one of them at a time."""
     schema = pa.schema(
         [("id", pa.string()), ("root", pa.string()), ("root_at", pa.timestamp("us", "UTC")), ("root_by", pa.string()), ("root_ordinal", pa.int32()),
          ("root_subject", pa.string()), ("shown_subject", pa.string())]
     )
-    rows = []
-    for group in groups.values():
-        for root, born in link_messages(group):
-            members = _members(root)
-            own = root.message["subject"] if root.message is not None else None
-            first_child = root.children[0].message if root.children else None
-            grouping = own if own is not None else first_child["subject"] if first_child else ""
-            rows.extend((m["id"], root.name, *born, grouping, own) for m in members)
-        if len(rows) >= 10_000:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
-            rows = []
+    table = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+    group: list[dict] = []
+    rows: list[tuple] = []
+    for m in (m for b in batches for m in b.to_pylist()):
+        if group and group[0]["component"] != m["component"]:
+            rows += _roots(group)
+            group = []
+            if len(rows) >= 10_000:
+                yield table(rows)
+                rows = []
+        group.append(m)
+    if group:
+        rows += _roots(group)
     if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+        yield table(rows)
 
 
 @F.udf(T.StringType())
@@ -184,7 +193,7 @@ def assign(messages: DataFrame) -> DataFrame:
     """account_id, id, received_at, root, base: the root container of each message after subject joining, and the thread's subject."""
     inputs = materialise(thread_inputs(messages), "thread-inputs")
     work = inputs.join(components(inputs), ["account_id", "id"]).select("component", "id", "received_at", "subject", "declared", "chain")
-    rooted = materialise(work.repartition(shuffle_partitions(messages.sparkSession), "component").mapInArrow(_kernel, ROOTS), "rooted")
+    rooted = materialise(work.repartition(shuffle_partitions(messages.sparkSession), "component").sortWithinPartitions("component").mapInArrow(_kernel, ROOTS), "rooted")
     rooted = inputs.select("account_id", "id", "received_at", "subject").join(rooted, "id")
     key = F.struct("root_at", "root_by", "root_ordinal", "root")
     roots = rooted.groupBy("account_id", "root").agg(

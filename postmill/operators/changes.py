@@ -44,7 +44,7 @@ INSERT, DELETE, FIRST, SECOND = "insert", "delete", "first", "second"
 
 
 def message_changes(event_log: DataFrame) -> DataFrame:
-    """The entries of an event log that concern messages, as store entries with their batch number."""
+    """The entries of an event log that concern messages, as store entries, with their batch number if the log has one."""
     op = (
         F.when(F.col("type") == "message.observed", INSERT)
         .when(F.col("type") == "message.removed", DELETE)
@@ -59,7 +59,7 @@ def message_changes(event_log: DataFrame) -> DataFrame:
         op.alias("op"),
         F.col("payload.keywords").alias("first_set"),
         F.col("payload.mailbox_ids").alias("second_set"),
-        "batch_no",
+        *[c for c in ("batch_no",) if c in event_log.columns],
     ).filter(F.col("key").isNotNull() & F.col("seq").isNotNull())
 
 

@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 
 from postmill.functions import mime, provider
 from postmill.functions.subjects import base_subject, is_forward, is_reply
-from postmill.operators import blobs, event_log, intents, listing, threads
+from postmill.operators import blobs, event_log, intents, listing, projection, threads
 from postmill.plans import rules, search
 from postmill.plans.predicates import matching
 from postmill.plans.query_language import parse
 from postmill.schemas import value_set
-from postmill.session import materialise, table
+from postmill.session import materialise, scratch_path, table
 from postmill.streaming import sync
 
 ACCOUNT = "acc-0001"
@@ -274,6 +274,56 @@ def replay_snapshot(spark, d):
     return reduce(DataFrame.unionByName, parts)
 
 
+def _log_blobs(spark: SparkSession, d: str) -> DataFrame:
+    """A message for every blob the log observes, written in the JVM."""
+    rows = _log(spark, d).filter((F.col("type") == "message.observed") & F.col("payload.blob_id").isNotNull()).select(F.col("payload.blob_id").alias("id")).distinct()
+    raw = F.concat(F.lit("From: W <w@x.test>\r\nTo: v@x.test\r\nSubject: about "), F.col("id"), F.lit("\r\nMessage-ID: <"), F.col("id"), F.lit("@x>\r\n\r\ntext\r\n"))
+    return rows.select("id", raw.cast("binary").alias("bytes"))
+
+
+_STATE = f"""{_LIVE}, born as (select k, min(seq) as o from o group by k), lm as (
+  select k as id, arg_min(account_id, seq) as account_id, arg_min(provider_id, seq) as provider_id, (arg_max({{b: blob_id}}, seq)).b as blob_id, epoch_us((arg_max({{r: received_at}}, seq)).r) as received_at from o group by k
+), sets as (
+  select e.k, e.type, e.seq, list_sort(list_distinct(list_filter(coalesce(v, []), lambda x: x is not null))) as v from (
+    select distinct payload.message_id as k, type, seq, case when type = 'message.keywords.set' then payload.keywords else payload.mailbox_ids end as v
+    from event_log where type in ('message.keywords.set', 'message.mailboxes.set')) e join born on born.k = e.k and e.seq > born.o
+), kw as (select k, arg_max(v, seq) as v from sets where type = 'message.keywords.set' group by k), mb as (select k, arg_max(v, seq) as v from sets where type = 'message.mailboxes.set' group by k),
+sz as (select payload.blob_id as b, max(payload.size) as size from event_log where type = 'blob.stored' group by 1),
+state as (
+  select lm.*, array_to_string(coalesce(kw.v, []), ',') as keywords, array_to_string(coalesce(mb.v, []), ',') as mailbox_ids, sz.size
+  from lm left join kw on kw.k = lm.id left join mb on mb.k = lm.id left join sz on sz.b = lm.blob_id)"""
+_STATE_SQL = f"with {_STATE} select id, account_id, provider_id, blob_id, received_at, keywords, mailbox_ids, size, 'about ' || blob_id as subject, lower(blob_id) || '@x' as declared from state"
+
+
+def _projected(rows: DataFrame) -> DataFrame:
+    joined = lambda c: F.array_join(c, ",").alias(c)
+    return rows.select("id", "account_id", "provider_id", "blob_id", _us("received_at"), joined("keywords"), joined("mailbox_ids"), "size", "subject", F.lower(F.get("message_id_header", F.lit(0))).alias("declared"))
+
+
+@query(_STATE_SQL)
+def replay_parsed(spark, d):
+    """Messages of the whole log with their sets, sizes and the fields their blobs say."""
+    log = _log(spark, d)
+    return _projected(projection.messages_of(log, _log_blobs(spark, d), NOW))
+
+
+@query(_STATE_SQL)
+def projection_follow(spark, d):
+    """The same from a projection on disk that was built from the older half of the log and then followed the newer one."""
+    log, blobs_ = _log(spark, d), _log_blobs(spark, d)
+    middle = log.agg(F.percentile_approx("seq", 0.5)).first()[0] or 0
+    p = projection.Projection(spark, scratch_path(spark, "projection"))
+    p.rebuild(log.filter(F.col("seq") <= middle), blobs_, NOW)
+    p.apply(log, log.filter(F.col("seq") > middle), blobs_, NOW)
+    return _projected(p.read("messages"))
+
+
+@query()
+def thread_write_back(spark, d):
+    """Every message with the id of the conversation it belongs to in place of the one it was stored with."""
+    return projection.with_thread_ids(_messages(spark, d)).select("account_id", "id", "thread_id")
+
+
 # --- filters of the search language -----------------------------------------------------------------------------------
 
 

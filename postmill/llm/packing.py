@@ -95,7 +95,8 @@ def pack_sizes(
         shards = max(1, -(-n // shard_items))
         now = materialise(_round(todo, number, shards, capacity), "packed")
         members = now.select("item", "size", "container", "fill") if members is None else materialise(
-            members.join(now.select(F.col("item").alias("was"), F.col("container").alias("c"), F.col("fill").alias("f")), F.col("container") == F.col("was"))
+            # both sides grow with the items, so neither is to be broadcast
+            members.join(now.select(F.col("item").alias("was"), F.col("container").alias("c"), F.col("fill").alias("f")).hint("merge"), F.col("container") == F.col("was"))
             .select("item", "size", F.col("c").alias("container"), F.col("f").alias("fill")),
             "members",
         )

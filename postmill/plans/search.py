@@ -1,9 +1,9 @@
 """Full-text search: matching, BM25 with recency, snippets, and the postings behind an index.
 
-Two plans. A query with text scans the documents once (or a stored token table), counts each word or
-phrase with array functions inside the scan, and joins only the hits with the messages; a query without
-text never touches the documents. Statistics of the whole index (documents, mean length, documents per
-phrase) come from one aggregate and enter the plan as literals.
+Three plans. A query with text over a ``SearchIndex`` reads the postings of its own words only, counts each word or
+phrase from their positions, and joins only the hits with the messages. Without an index it scans the documents once and
+counts with array functions inside the scan. A query without text never touches either. Statistics of the whole index
+(documents, mean length, documents per phrase) enter the plan as literals.
 """
 
 from __future__ import annotations
@@ -17,11 +17,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postmill.functions.text import fold_word, tokens
+from postmill.plans.index import FIELDS, SearchIndex, unique_documents
 from postmill.plans.predicates import matching
 from postmill.plans.query_language import Clause, Query, parse
 from postmill.session import materialise, spread
 
-FIELDS = ("subject", "sender", "recipients", "body")
 K1, B = 1.2, 0.75
 RECENCY_WEIGHT = 3.0
 RECENCY_DAYS = 30.0
@@ -33,43 +33,22 @@ def phrase_of(clause: Clause) -> list[str]:
     return re.findall(r"[^\W_]+", fold_word(clause.value))
 
 
-def unique_documents(documents: DataFrame) -> DataFrame:
-    """One row per message: repeated rows fall together, of differing ones the greatest stays."""
-    rest = [c for c in documents.columns if c != "message_id"]
-    return documents.groupBy("message_id").agg(F.max(F.struct(*rest)).alias("d")).select("message_id", "d.*")
-
-
 def tokenised(documents: DataFrame) -> DataFrame:
-    """message_id, account_id, dl (tokens in all fields), and an array of tokens per field: the stored form of the index."""
+    """message_id, account_id, dl (tokens in all fields), and an array of tokens per field."""
     arrays = spread(documents).select("message_id", "account_id", *[tokens(F.col(f)).alias(f"{f}_t") for f in FIELDS])
     return arrays.withColumn("dl", reduce(Column.__add__, [F.size(f"{f}_t") for f in FIELDS]))
 
 
-def as_index(documents: DataFrame) -> DataFrame:
-    """Documents in their stored form; an index read back is taken as it is."""
-    return documents if "dl" in documents.columns else tokenised(documents)
-
-
-def write_index(documents: DataFrame, path: str) -> None:
-    """Store the index, clustered by account, so that a search of one account reads little of it."""
-    tokenised(documents).repartition("account_id", F.pmod(F.xxhash64("message_id"), F.lit(16))).sortWithinPartitions("account_id").write.parquet(path)
-
-
-def without(index: DataFrame, ids: DataFrame) -> DataFrame:
-    """The index less some documents; with ``unionByName`` of the new ones it is an update."""
-    return index.join(ids.select("message_id"), "message_id", "left_anti")
-
-
 def postings(documents: DataFrame) -> DataFrame:
     """message_id, account_id, field, pos, token."""
-    rows = as_index(documents)
+    rows = tokenised(documents)
     parts = [rows.select("message_id", "account_id", F.lit(f).alias("field"), F.posexplode(f"{f}_t").alias("pos", "token")) for f in FIELDS]
     return reduce(DataFrame.unionByName, parts)
 
 
 def document_frequencies(documents: DataFrame) -> DataFrame:
     """token, docs: distinct documents that hold it; one shuffle of distinct (token) per document, combined before it."""
-    rows = as_index(documents).select(F.explode(F.array_distinct(F.concat(*[f"{f}_t" for f in FIELDS]))).alias("token"))
+    rows = tokenised(documents).select(F.explode(F.array_distinct(F.concat(*[f"{f}_t" for f in FIELDS]))).alias("token"))
     return rows.groupBy("token").agg(F.count("*").alias("docs"))
 
 
@@ -132,6 +111,66 @@ def bm25(rows: DataFrame, phrases: list[list[str]], unwanted: list[list[str]] =
     return counted.filter(hits & ~F.col("bad")).withColumn("bm25", -reduce(Column.__add__, parts))
 
 
+def _back(places: Column, n: int) -> Column:
+    return F.transform(places, lambda x: x - n)
+
+
+def _starts(phrase: list[str]) -> Column:
+    """How often a phrase stands in a document, from ``p``: the (token, field, positions) of the query's words in it, fields kept apart."""
+    of = lambda word, field: F.flatten(F.transform(F.filter("p", lambda x: (x["token"] == word) & (x["field"] == field)), lambda x: x["positions"]))
+    total = F.lit(0)
+    for k in range(len(FIELDS)):
+        at = of(phrase[0], k)
+        for n, word in enumerate(phrase[1:], 1):
+            at = F.array_intersect(at, _back(of(word, k), n))
+        total = total + F.size(at)
+    return total
+
+
+def bm25_indexed(index: SearchIndex, phrases: list[list[str]], unwanted: list[list[str]] = ()) -> DataFrame:
+    """message_id, account_id, segment, bm25 of the indexed documents that hold all phrases and none unwanted.
+
+    What is read are the postings of the words in question; what is gathered of a document is at most four entries a word.
+    """
+    words = sorted({w for p in (*phrases, *unwanted) for w in p})
+    rows = index.postings(words)
+    wanted = sorted({w for p in phrases for w in p})
+    per = rows.groupBy("message_id", "account_id", "segment", "dl").agg(
+        F.collect_list(F.struct("token", "field", "positions")).alias("p"), *[F.max(F.when(F.col("token") == w, 1).otherwise(0)).alias(f"w{i}") for i, w in enumerate(wanted)]
+    )
+    own = [reduce(Column.__and__, [F.col(f"w{wanted.index(w)}") == 1 for w in set(p)]) for p in phrases]
+    counted = per.filter(reduce(Column.__or__, own)).select(
+        "message_id", "account_id", "segment", "dl", *[F.when(o, F.lit(1) * _starts(p)).otherwise(0).alias(f"f{i}") for i, (p, o) in enumerate(zip(phrases, own))],
+        reduce(Column.__or__, [_starts(p) > 0 for p in unwanted], F.lit(False)).alias("bad"),
+    )
+    counted = materialise(counted, "counts")
+    held = counted.agg(*[F.count_if(F.col(f"f{i}") > 0) for i in range(len(phrases))]).first()
+    mean = max(index.length / max(index.documents, 1), 1e-9)
+    hits = reduce(Column.__and__, [F.col(f"f{i}") > 0 for i in range(len(phrases))])
+    parts = []
+    for i in range(len(phrases)):
+        f = F.col(f"f{i}")
+        parts.append(F.lit(idf(index.documents, held[i])) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / mean)))
+    return counted.filter(hits & ~F.col("bad")).withColumn("bm25", -reduce(Column.__add__, parts))
+
+
+def _indexed_search(index: SearchIndex, account: str, kept: DataFrame, wanted: list, unwanted: list, now: datetime, weight: float, limit: int) -> DataFrame:
+    hits = bm25_indexed(index, wanted, unwanted).filter(F.col("account_id") == account)
+    scored = kept.select("id", "received_at").join(hits.select(F.col("message_id").alias("id"), "segment", "bm25"), "id")
+    score = F.round(F.col("bm25") - recency(F.col("received_at"), now, weight), 6).alias("score")
+    top = materialise(scored.select("id", "segment", score, "received_at").orderBy("score", F.desc("received_at"), F.desc("id")).limit(limit), "top")
+    places = [(r["id"], r["segment"]) for r in top.select("id", "segment").collect()]  # at most ``limit``
+    live = index.live().filter(F.col("bucket").isin(_buckets(index, [i for i, _ in places])) & F.col("message_id").isin([i for i, _ in places]))
+    shown = live.select(F.col("message_id").alias("id"), "segment", F.col("body").alias("body_t")).select("id", "segment", snippet([p[0] for p in wanted]).alias("snippet"))
+    return top.join(shown, ["id", "segment"]).select("id", "score", "snippet", "received_at").orderBy("score", F.desc("received_at"), F.desc("id"))
+
+
+def _buckets(index: SearchIndex, ids: list[str]) -> list[int]:
+    if not ids:
+        return []
+    return sorted({r[0] for r in index.spark.range(1).select(F.explode(F.array(*[index.bucket(F.lit(i)) for i in ids]))).collect()})
+
+
 def recency(received: Column, now: datetime, weight: float) -> Column:
     """weight / (1 + age in days / 30); messages from the future count as new."""
     days = (F.unix_micros(F.lit(now)) - F.unix_micros(received)) / 86_400e6
@@ -142,14 +181,14 @@ def search(
     query: str | Query,
     account: str,
     messages: DataFrame,
-    documents: DataFrame,
+    documents: DataFrame | SearchIndex,
     mailboxes: DataFrame,
     now: datetime,
     weight: float = RECENCY_WEIGHT,
     limit: int = 50,
     strict_reference: bool = False,
 ) -> DataFrame:
-    """id, score, snippet of the best hits, best first; ties by date and id. ``documents`` may be a stored index.
+    """id, score, snippet of the best hits, best first; ties by date and id. ``documents`` may be a ``SearchIndex``.
 
     Only excluded words: everything but what holds them (``strict_reference``: everything).
     """
@@ -160,12 +199,18 @@ def search(
     kept = matching(messages, mailboxes, account, filters)
     newest = (F.desc("received_at"), F.desc("id"))
     if not wanted:
-        if unwanted and not strict_reference:
-            bad = as_index(documents.filter(F.col("account_id") == account)).filter(reduce(Column.__or__, [occurrences(p) > 0 for p in unwanted]))
+        if unwanted and not strict_reference and isinstance(documents, SearchIndex):
+            rows = documents.postings(sorted({w for p in unwanted for w in p})).filter(F.col("account_id") == account)
+            held = rows.groupBy("message_id").agg(F.collect_list(F.struct("token", "field", "positions")).alias("p")).filter(reduce(Column.__or__, [_starts(p) > 0 for p in unwanted]))
+            kept = kept.join(held.select(F.col("message_id").alias("id")), "id", "left_anti")
+        elif unwanted and not strict_reference:
+            bad = tokenised(documents.filter(F.col("account_id") == account)).filter(reduce(Column.__or__, [occurrences(p) > 0 for p in unwanted]))
             kept = kept.join(bad.select(F.col("message_id").alias("id")), "id", "left_anti")
         top = kept.orderBy(*newest).limit(limit)
         return top.select("id", F.lit(0.0).alias("score"), F.coalesce("preview", F.lit("")).alias("snippet"), "received_at")
-    hits = bm25(as_index(documents), wanted, unwanted).filter(F.col("account_id") == account)  # statistics span all accounts
+    if isinstance(documents, SearchIndex):
+        return _indexed_search(documents, account, kept, wanted, unwanted, now, weight, limit)
+    hits = bm25(tokenised(documents), wanted, unwanted).filter(F.col("account_id") == account)  # statistics span all accounts
     scored = kept.select("id", "received_at").join(hits.select(F.col("message_id").alias("id"), "bm25", "snippet"), "id")
     score = F.round(F.col("bm25") - recency(F.col("received_at"), now, weight), 6)
     return scored.select("id", score.alias("score"), "snippet", "received_at").orderBy("score", *newest).limit(limit)

@@ -15,6 +15,7 @@ from postmill.functions import mime, provider
 from postmill.functions.subjects import base_subject, is_forward, is_reply
 from postmill.operators import blobs, event_log, intents, listing, projection, threads
 from postmill.plans import rules, search
+from postmill.plans.index import SearchIndex
 from postmill.plans.predicates import matching
 from postmill.plans.query_language import parse
 from postmill.schemas import value_set
@@ -393,12 +394,7 @@ def _text(name: str, text: str) -> None:
     unwanted = [search.phrase_of(c) for c in clauses if c.negated]
 
     def run(spark: SparkSession, d: str) -> DataFrame:
-        hits = search.tokenised(table(spark, d, "search_documents").filter(F.col("account_id") == ACCOUNT))
-        for p in wanted:
-            hits = hits.filter(search.occurrences(p) > 0)
-        for p in unwanted:
-            hits = hits.filter(search.occurrences(p) == 0)
-        return hits.select("message_id").distinct()
+        return search.bm25_indexed(_index(spark, d), wanted, unwanted).filter(F.col("account_id") == ACCOUNT).select("message_id")
 
     QUERIES[name] = run
     SQL[name] = _hits_sql(wanted, unwanted)
@@ -431,8 +427,21 @@ r as (
 select id, score from r order by score, received_at desc, id desc limit 50"""
 
 
+_INDEXES: dict[tuple, SearchIndex] = {}
+
+
+def _index(spark: SparkSession, d: str) -> SearchIndex:
+    """The index of a data folder: built at the first search, then read by all of this session."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _INDEXES:
+        index = SearchIndex(spark, scratch_path(spark, "index"))
+        index.add(table(spark, d, "search_documents"))
+        _INDEXES[key] = index
+    return _INDEXES[key]
+
+
 def _search(spark: SparkSession, d: str, text: str, **options) -> DataFrame:
-    return search.search(text, ACCOUNT, _messages(spark, d, ACCOUNT), table(spark, d, "search_documents"), _mailboxes(spark, d), NOW, **options)
+    return search.search(text, ACCOUNT, _messages(spark, d, ACCOUNT), _index(spark, d), _mailboxes(spark, d), NOW, **options)
 
 
 def ranked_search(spark: SparkSession, d: str, text: str) -> DataFrame:
@@ -473,12 +482,49 @@ def search_snippet(spark, d):
     return _search(spark, d, "archive draft").select("id", "snippet")
 
 
+_T_ROWS = (
+    f"{T}, p as (select message_id, 0 as field, subject_t as x from t union all select message_id, 1, sender_t from t union all select message_id, 2, recipients_t from t "
+    "union all select message_id, 3, body_t from t), r as (select message_id, field, generate_subscripts(x, 1) - 1 as pos, unnest(x) as token from p)"
+)
+
+
+@query(
+    f"with {_T_ROWS} select token, field, message_id, string_agg(pos::varchar, ' ' order by pos) as positions from r group by all"
+)
+def index_build(spark, d):
+    """The stored postings, built anew: every token of every field with its places."""
+    index = SearchIndex(spark, scratch_path(spark, "index"))
+    index.add(table(spark, d, "search_documents"))
+    return index.all_postings().select("token", "field", "message_id", F.array_join("positions", " ").alias("positions"))
+
+
+@query(
+    f"""with {D}, n as (
+  select message_id, account_id, case when message_id like '%5' then 'new words here' else body end as body from d
+  where not (message_id like '%3') and account_id <> 'acc-0002'
+), t as (select message_id, regexp_extract_all(strip_accents(lower(coalesce(body, ''))), '[\\p{{L}}\\p{{N}}]+') as b from n)
+select message_id, len(b) as body_tokens, len(list_filter(b, lambda x: x = 'words')) as held from t"""
+)
+def index_update(spark, d):
+    """An index after replacing, removing and clearing: what is live, and one word's postings in it."""
+    docs = table(spark, d, "search_documents")
+    index = SearchIndex(spark, scratch_path(spark, "index"))
+    index.add(docs)
+    index.add(docs.filter(F.col("message_id").endswith("5")).withColumn("body", F.lit("new words here")))
+    index.remove(docs.filter(F.col("message_id").endswith("3")))
+    index.clear("acc-0002")
+    index.optimise()
+    words = index.postings(["words"]).filter("field = 3").select("message_id", F.size("positions").alias("n"))
+    return index.live().join(words, "message_id", "left").select("message_id", F.size("body").cast("bigint").alias("body_tokens"), F.coalesce("n", F.lit(0)).cast("bigint").alias("held"))
+
+
 @query(
     f"with {T}, x as (select distinct message_id, unnest(" + "list_concat(list_concat(list_concat(subject_t, sender_t), recipients_t), body_t)" + ") as token from t) "
     "select token, count(*) as docs from x group by token"
 )
 def token_df(spark, d):
-    return search.document_frequencies(_documents(spark, d))
+    """Documents of every token, from the stored postings: a message's postings of a token are one row a field."""
+    return _index(spark, d).all_postings().groupBy("token").agg(F.count_distinct("message_id").alias("docs"))
 
 
 @query(
@@ -486,8 +532,9 @@ def token_df(spark, d):
     "union all select 'body', body_t from t) select field, sum(len(x))::bigint as tokens, count(*) filter (len(x) > 0) as documents from p where len(x) > 0 group by field"
 )
 def postings_stats(spark, d):
-    p = search.postings(_documents(spark, d))
-    return p.groupBy("field").agg(F.count("*").alias("tokens"), F.count_distinct("message_id").alias("documents"))
+    names = F.element_at(F.array(*map(F.lit, search.FIELDS)), F.col("field") + 1).alias("field")
+    p = _index(spark, d).all_postings().select(names, "message_id", F.size("positions").alias("n"))
+    return p.groupBy("field").agg(F.sum("n").alias("tokens"), F.count_distinct("message_id").alias("documents"))
 
 
 @query(

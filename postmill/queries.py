@@ -816,6 +816,45 @@ def tail_ingest(spark, d):
     return e.select("provider_id", "type", F.array_join(F.coalesce("values", empty), ",").alias("values"))
 
 
+@query(
+    f"with {M} select id, epoch_us(received_at) as received_at from m where account_id = '{ACCOUNT}' and (received_at, id) < (timestamptz '2026-03-01 00:00:00+00', 'm:{ACCOUNT}:9') "
+    "order by received_at desc, id desc limit 40"
+)
+def backfill_page(spark, d):
+    """A page of history below a watermark."""
+    mark = (datetime(2026, 3, 1, tzinfo=timezone.utc), f"m:{ACCOUNT}:9")
+    return sync.backfill_page(_messages(spark, d), ACCOUNT, mark, 40).select("id", _us("received_at"))
+
+
+@query(
+    f"with {M} select id, array_to_string(list_sort(list_distinct(coalesce(keywords, []))), ',') as keywords, array_to_string(list_sort(list_distinct(coalesce(mailbox_ids, []))), ',') as mailbox_ids from m"
+)
+def resync(spark, d):
+    """After a lost cursor: the log's state, brought to the server's by the events of a full comparison."""
+    live = event_log.replay_messages(_log(spark, d)).select("message_id")
+    local = live.join(event_log.collected_sets(_log(spark, d)), "message_id", "left").withColumnRenamed("message_id", "id")
+    _, after = sync.resynchronised(local, _messages(spark, d).select("id", "keywords", "mailbox_ids"))
+    return after.select("id", F.array_join("keywords", ",").alias("keywords"), F.array_join("mailbox_ids", ",").alias("mailbox_ids"))
+
+
+@query(
+    f"""with {M}, r as (select id, unnest(range(2, 13)) as "at" from m where not (id like '%0'))
+select id as provider_id, "at" from r where case when id like '%3' then "at" = 4 or "at" >= 9 when id like '%5' then "at" >= 9 else true end"""
+)
+def guard_state(spark, d):
+    """Reads of every message through the stream's guards. Ids ending in 3: a change was applied, which read 4 shows; it is believed,
+    and from the eighth read on all are; in 5: no read shows it, so those from the eighth on are; others: no guard; in 0: no reads."""
+    reads = _messages(spark, d).select("id").filter(~F.col("id").endswith("0")).select("id", F.explode(F.sequence(F.lit(2), F.lit(12))).alias("at"))
+    shows = F.col("id").endswith("3") & F.col("at").isin(4, 12)
+    none = F.array().cast("array<string>")
+    row = lambda kind, keywords, add: (F.col("id").alias("provider_id"), F.col("at").cast("bigint").alias("at"), F.lit(kind).alias("kind"), F.lit("keywords").alias("field"), keywords.alias("keywords"), none.alias("mailboxes"), add.alias("add"), none.alias("remove"))
+    told = reads.filter(F.col("at").isin(2) & F.col("id").rlike("[35]$")).withColumn("at", F.lit(1)).select(*row("expect", none, F.array(F.lit("$x"))))
+    seen = reads.select(*row("read", F.when(shows, F.array(F.lit("$x"))).otherwise(none), none))
+    path = scratch_path(spark, "reads")
+    told.unionByName(seen).write.parquet(path)
+    return sync.run_guarded(spark, path).select("provider_id", "at")
+
+
 # --- rules, capabilities, provider records ----------------------------------------------------------------------------
 
 RULES = [
@@ -842,6 +881,23 @@ def rule_match(spark, d):
     return rules.evaluate(_messages(spark, d), RULES).select("id", "rule_id", F.array_join("actions", ",").alias("actions"))
 
 
+_STOP_RULES = [
+    rules.Rule("s1", {"field": "size", "op": "lt", "value": 1500}, ("small",), stop_on_match=True),
+    rules.Rule("s2", {"all": [{"field": "receivedAt", "op": "gt", "value": "2026-03-01 00:00:00"}, {"field": "mailbox", "op": "exists", "value": True}]}, ("recent",)),
+    rules.Rule("s3", {"field": "subject", "op": "endsWith", "value": "x"}, ("ends",), stop_on_match=True),
+    rules.Rule("s4", {"any": [{"field": "subject", "op": "matches", "value": "^(re|aw):"}, {"field": "listId", "op": "in", "value": ["A", "b"]}]}, ("late",)),
+]
+
+
+@query(
+    f"""with {M}, r as (select id, coalesce(size < 1500, false) as s1, coalesce(received_at > timestamptz '2026-03-01 00:00:00+00', false) and len(coalesce(mailbox_ids, [])) > 0 as s2,
+ ends_with(lower(coalesce(subject, '')), 'x') as s3, regexp_matches(coalesce(subject, ''), '^(re|aw):', 'i') or coalesce(lower(list_id) in ('a', 'b'), false) as s4 from m)
+select id, 's1' as rule_id from r where s1 union all select id, 's2' from r where s2 and not s1 union all select id, 's3' from r where s3 and not s1 union all select id, 's4' from r where s4 and not s1 and not s3"""
+)
+def rule_stop_on_match(spark, d):
+    return rules.evaluate(_messages(spark, d), _STOP_RULES).select("id", "rule_id")
+
+
 @query(
     """with h as (select id, [role || ':*', 'mail:read'] as held, ['mail:read', 'mail:read-body', 'inbox:' || id, 'sent:x'] as req from (select distinct id, coalesce(role, 'none') as role from mailboxes))
 select id, array_to_string(list_filter(req, lambda r: not (list_contains(held, r) or starts_with(r, held[1][1:len(held[1]) - 1]))), ',') as missing from h"""

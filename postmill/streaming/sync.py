@@ -7,13 +7,17 @@ A cursor travels as an entry of the same batch as the data it covers, so a rebui
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from postmill.operators.intents import refresh_events
+from postmill.schemas import value_set
+from postmill.session import scratch_path
 from postmill.sources.change_feed import CursorExpired, Server, Unreachable
 
 READ_BUDGET = 8
@@ -30,6 +34,35 @@ def page(log: DataFrame, account: str, cursor: int = 0, limit: int = 500) -> Dat
     return rows.select("seq", F.col("payload.message_id").alias("provider_id"), kinds.alias("kind")).dropDuplicates(["seq"]).orderBy("seq").limit(limit)
 
 
+def backfill_page(messages: DataFrame, account: str, watermark: tuple | None = None, limit: int = 500) -> DataFrame:
+    """The next page of history: the account's messages below the watermark (received_at, id), newest first, ties by id.
+
+    The last row of a page is the next watermark; a page of fewer than ``limit`` rows completes the backfill. It goes on apart from
+    the tail: what arrives meanwhile lies above every watermark.
+    """
+    rows = messages.filter(F.col("account_id") == account)
+    if watermark is not None:
+        at, last = F.lit(watermark[0]), watermark[1]
+        rows = rows.filter((F.col("received_at") < at) | ((F.col("received_at") == at) & (F.col("id") < last)))
+    return rows.orderBy(F.desc("received_at"), F.desc("id")).limit(limit)
+
+
+def resynchronised(local: DataFrame, server: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What a lost cursor comes to: the events that make ``local`` equal to ``server``, and the local state after them.
+
+    Both sides: id, keywords, mailbox_ids. The events are those of a refresh; a set that is already right gives none.
+    """
+    events = refresh_events(local, server)
+    gone = events.filter("type = 'message.removed'").select(F.col("message_id").alias("id"))
+    new = events.filter("type = 'message.observed'").select(F.col("message_id").alias("id"))
+    last = lambda t: F.max(F.when(F.col("type") == t, F.col("values")))
+    sets = events.groupBy(F.col("message_id").alias("id")).agg(last("message.keywords.set").alias("k"), last("message.mailboxes.set").alias("m"))
+    none = F.array().cast("array<string>")
+    kept = local.select("id", value_set(F.col("keywords")).alias("keywords"), value_set(F.col("mailbox_ids")).alias("mailbox_ids")).join(gone, "id", "left_anti")
+    after = kept.unionByName(new.select("id", none.alias("keywords"), none.alias("mailbox_ids"))).join(sets, "id", "left")
+    return events, after.select("id", F.coalesce("k", "keywords").alias("keywords"), F.coalesce("m", "mailbox_ids").alias("mailbox_ids"))
+
+
 def collapse(changes: DataFrame) -> DataFrame:
     """provider_id, destroyed: each id of a page once; a removal wins over any other change of it."""
     return changes.groupBy("provider_id").agg(F.bool_or(F.col("kind") == "destroyed").alias("destroyed"))
@@ -130,6 +163,18 @@ def guarded(reads: DataFrame) -> DataFrame:
     )
 
 
+READS = "provider_id string, at bigint, kind string, field string, keywords array<string>, mailboxes array<string>, add array<string>, remove array<string>"
+
+
+def run_guarded(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
+    """The believable reads of all files at ``path``, through the guarded stream to its end."""
+    out, check = scratch_path(spark, "believed"), scratch_path(spark, "believed-state")
+    stream = spark.readStream.schema(READS).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+    query = guarded(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema("provider_id string, at bigint, keywords array<string>, mailboxes array<string>").parquet(out)
+
+
 class Engine:
     """One account: local state, cursor, outstanding intents and guards; a single writer."""
 
@@ -142,6 +187,10 @@ class Engine:
         self.guards: dict[str, Guard] = {}
         self.reread: set[str] = set()
         self.last_error: str | None = None
+        self.low: tuple[int, str] | None = None  # how far down the history was read
+        self.complete = False
+        self.phase = "idle"
+        self.lock = threading.Lock()  # a single writer: passes of one account never overlap
 
     def _write(self, event: dict) -> None:
         self.log.append(event)
@@ -187,7 +236,8 @@ class Engine:
 
     def _take(self, ids: list[str]) -> bool:
         """Fetch and write what is believable; what the server no longer has is removed."""
-        found = {m["provider_id"]: m for k in range(0, len(ids), self.page) for m in self.server.fetch(ids[k : k + self.page])}
+        step = min(self.page, self.server.limits["fetch"])
+        found = {m["provider_id"]: m for k in range(0, len(ids), step) for m in self.server.fetch(ids[k : k + step])}
         for i in ids:
             m = found.get(i)
             self.reread.discard(i)
@@ -212,8 +262,9 @@ class Engine:
         try:
             changes, cursor, more = self.server.changes(self.cursor or 0, self.page)
         except CursorExpired:
-            self.cursor = 0  # resynchronise: everything is read again
+            self.cursor = 0  # resynchronise: everything is read again, history too
             self.reread |= set(self.local)
+            self.low, self.complete = None, False
             return True
         gone = {i for kind, i in changes if kind == "destroyed"}
         live = [i for i in dict.fromkeys(i for _, i in changes) if i not in gone]
@@ -227,6 +278,15 @@ class Engine:
             self._write({"type": "sync.cursor.advanced", "collection": "messages", "cursor": str(cursor)})
         return more
 
+    def backfill(self) -> bool:
+        """One page of history below the watermark; True if there is more. Independent of the tail's cursor."""
+        if self.complete:
+            return False
+        ids, low, done = self.server.backfill(self.low, self.page)
+        self._take([i for i in ids if i not in self.local])
+        self.low, self.complete = low, done
+        return not done
+
     def verify(self) -> None:
         """Read again what a change still waits to be seen for."""
         waiting = sorted(self.reread | {i for i, g in self.guards.items() if not g.satisfied})
@@ -234,25 +294,37 @@ class Engine:
             self._take(waiting)
 
     def settle(self, rounds: int = MAX_ROUNDS) -> int:
-        """Push, tail and verify until nothing changes and nothing waits; returns the rounds it took."""
+        """Push, tail, verify and backfill until nothing changes and nothing waits; returns the rounds it took."""
+        with self.lock:
+            try:
+                return self._settle(rounds)
+            finally:
+                self.phase = "idle"
+
+    def _settle(self, rounds: int) -> int:
         for n in range(1, rounds + 1):
             before = (self.cursor, len(self.log), len(self.outstanding()))
             more = True
             try:
+                self.phase = "pushing"
                 self.push()
+                self.phase = "tailing"
                 while more:
                     more = self.tail()
+                self.phase = "verifying"
                 self.verify()
+                self.phase = "backfilling"
+                self.backfill()
             except Unreachable as e:
                 self.last_error = str(e)
                 continue
             waiting = self.reread or any(not g.satisfied for g in self.guards.values())
-            if not self.outstanding() and not waiting and before[0] == self.cursor:
+            if not self.outstanding() and not waiting and before[0] == self.cursor and self.complete:
                 return n
         return rounds
 
     def status(self) -> dict:
-        return {"outstanding": len(self.outstanding()), "last_error": self.last_error, "cursor": self.cursor}
+        return {"phase": self.phase, "outstanding": len(self.outstanding()), "last_error": self.last_error, "cursor": self.cursor, "backfilled": self.complete, "watermark": self.low}
 
     def snapshot(self) -> dict[str, tuple]:
         return {i: (tuple(m["keywords"]), tuple(m["mailboxes"])) for i, m in sorted(self.local.items())}

@@ -132,7 +132,7 @@ def duplicate_pairs(named: DataFrame) -> DataFrame:
 
     The pairs of a class of n are n(n-1)/2 rows; where that is too many, ``class_sizes`` and the classes themselves say the same.
     """
-    several = materialise(named.join(class_sizes(named).select("class_id"), "class_id", "left_semi"), "several")
+    several = materialise(named.join(class_sizes(named).select("class_id").hint("merge"), "class_id", "left_semi"), "several")
     left = several.select("class_id", F.col("delivery_id").alias("delivery_id_1"))
     right = several.select("class_id", F.col("delivery_id").alias("delivery_id_2"))
-    return left.join(right, "class_id").filter("delivery_id_1 < delivery_id_2").select("delivery_id_1", "delivery_id_2")
+    return left.join(right.hint("merge"), "class_id").filter("delivery_id_1 < delivery_id_2").select("delivery_id_1", "delivery_id_2")

@@ -701,19 +701,19 @@ def _number_spans(flat: str, text: str) -> Iterator[tuple[int, int]]:
         yield a, b
 
 
-def number_candidates(flat: str, text: str, mails: list[tuple[int, int]]) -> Iterator[tuple[str, int, int, tuple]]:
-    """(kind, start, end, features) of all kinds but names."""
+def number_candidates(flat: str, text: str, mails: list[tuple[int, int]], lazy: bool = False) -> Iterator[tuple[str, int, int, tuple]]:
+    """(kind, start, end, features) of all kinds but names; ``lazy``: without the features of addresses."""
     ends = -1
     for a, _ in mails:
         if a >= ends:
             m = _EMAIL.match(flat, a)
             if m:
                 ends = m.end()
-                yield "email", a, ends, _email_row(flat, a, ends)
+                yield "email", a, ends, () if lazy else _email_row(flat, a, ends)
     if _has(flat, _SPELT):
         for m in _EMAIL.finditer(flat):
             if "@" not in m.group():
-                yield "email", m.start(), m.end(), _email_row(flat, m.start(), m.end())
+                yield "email", m.start(), m.end(), () if lazy else _email_row(flat, m.start(), m.end())
     for a, b in _number_spans(flat, text):
         row = _digit_row(flat, a, b, text)
         if row is not None:
@@ -801,21 +801,40 @@ class Judge:
         flat = _flat(text)
         if mails is None or flat is not text:
             mails = _mail_starts(flat) if "@" in flat else []
-        hits = self._hits(number_candidates(flat, text, mails))
+        hits: list[tuple] = []
+        mailed = False
+        for kind, a, b, row in number_candidates(flat, text, mails, lazy=True):
+            if kind == "email":
+                # an address without a blank meets no other kind's span, so further ones change nothing
+                bare = " " not in flat[a:b]
+                if bare and mailed:
+                    continue
+                row = _email_row(flat, a, b)
+            p = self._probability(kind, row)
+            if p >= self.models[kind].threshold:
+                if kind == "email" and bare:
+                    mailed = True
+                else:
+                    hits.append((-p, a - b, a, b, kind))
         # names are words, so they meet no span of digits and signs, and no address without a blank in it
-        others = [(a, b) for _, _, a, b, k in hits if k == "street_address" or k == "email" and " " in flat[a:b] or k == "id_number" and not flat[a:b].upper() == flat[a:b].lower()]
+        others = [(a, b) for _, _, a, b, k in hits if k == "street_address" or k == "email" or k == "id_number" and not flat[a:b].upper() == flat[a:b].lower()]
         context, named = context_of(flat, text, mails, record, self.book), False
         for a, b, words in name_candidates(context, [a for a, _ in mails]):
-            free = all(b <= x or y <= a for x, y in others) if others else True
+            free = all([b <= x or y <= a for x, y in others]) if others else True
             if free and named:
                 continue
             p = self._probability("person_name", _name_row(context, a, b, *words))
             if p >= self.models["person_name"].threshold:
-                hits.append((-p, a - b, a, b, "person_name"))
                 named = named or free
                 if named and not others:
                     break
-        return {k for _, _, k in _placed(hits)} | ({"person_name"} if named else set())
+                hits.append((-p, a - b, a, b, "person_name"))
+        found = {k for _, _, k in _placed(hits)} if len(hits) > 1 else {h[4] for h in hits}
+        if named:
+            found.add("person_name")
+        if mailed:
+            found.add("email")
+        return found
 
     def redact(self, text: str | None, record: str = "") -> str | None:
         """Text with a typed placeholder for each span; null stays null."""
@@ -888,7 +907,6 @@ def found_kinds(documents: DataFrame) -> DataFrame:
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(fitted, book.value)
         bits = {k: 1 << i for i, k in enumerate(KINDS)}
-        seen: dict[tuple, int] = {}  # by text and addresses of the record: both decide
         for b in batches:
             codes = []
             for body, sender, recipients in zip(*(b[f].to_pylist() for f in FIELDS)):
@@ -896,17 +914,8 @@ def found_kinds(documents: DataFrame) -> DataFrame:
                 starts = {5: _mail_starts(sender or ""), 10: _mail_starts(recipients or "")}
                 heads = " ".join([sender[a:at] for a, at in starts[5]]) + " " + " ".join([recipients[a:at] for a, at in starts[10]])
                 for shift, text in ((0, body), (5, sender), (10, recipients)):
-                    if shift and (text, heads) in seen:
-                        code |= seen[text, heads] << shift
-                        continue
-                    own = 0
                     for kind in judge.kinds(text, heads, starts.get(shift)):
-                        own |= bits[kind]
-                    if shift and text:
-                        if len(seen) > 200_000:
-                            seen.clear()
-                        seen[text, heads] = own
-                    code |= own << shift
+                        code |= bits[kind] << shift
                 codes.append(code)
             yield pa.RecordBatch.from_arrays([b["message_id"], pa.array(codes, pa.int32())], ["message_id", "code"])
 

@@ -44,21 +44,26 @@ def changed_set(current: Column, add: Column, remove: Column) -> Column:
 def local_events(intents: DataFrame, messages: DataFrame) -> DataFrame:
     """Events (absolute sets, removals) that show intents before the server has answered, applied in order of creation.
 
-    An intent that touches messages is spread over them; the set of a message after several intents is folded in
-    order, so every one of them sees the ones before.
+    Whether a value is in a set afterwards is told by the last intent that names it (in one that adds and removes it, adding wins), and by
+    the set itself where none does. So the order is a maximum per value, combined before the shuffle; no list of a message's intents is
+    ever gathered, only its different values.
     """
+    empty = F.array().cast("array<string>")
+    named = lambda c, flag: F.transform(F.coalesce(c, empty), lambda v: F.named_struct(F.lit("v"), v, F.lit("on"), F.lit(flag)))
     rows = intents.filter(F.col("op").isin("keywords.change", "mailboxes.change", "message.destroy")).select(
-        "account_id", "op", "created_at", F.col("id").alias("intent_id"), "add", "remove", F.explode("message_ids").alias("message_id")
+        "account_id", "op", "created_at", F.col("id").alias("intent_id"), F.concat(named("remove", 0), named("add", 1)).alias("values"), F.explode("message_ids").alias("message_id")
     )
-    step = F.struct("created_at", "intent_id", "op", "add", "remove")
-    per = rows.groupBy("account_id", "message_id").agg(F.array_sort(F.collect_list(step)).alias("steps"))
+    touched = rows.select("account_id", "message_id", "op", "created_at", "intent_id", F.explode_outer("values").alias("x"))
+    last = touched.groupBy("account_id", "message_id", "op", F.col("x.v").alias("v")).agg(F.max(F.struct("created_at", "intent_id", "x.on")).alias("by"))
+    at = lambda op, on: F.collect_set(F.when((F.col("op") == op) & (F.col("by.on") == on), F.col("v")))
+    per = last.groupBy("account_id", "message_id").agg(
+        at("keywords.change", 1).alias("k_on"), at("keywords.change", 0).alias("k_off"), at("mailboxes.change", 1).alias("m_on"), at("mailboxes.change", 0).alias("m_off"),
+        F.bool_or(F.col("op") == "message.destroy").alias("gone"),
+    )
     state = per.join(messages.select(F.col("id").alias("message_id"), "keywords", "mailbox_ids"), "message_id")
-    fold = lambda op, start: F.aggregate(
-        F.filter("steps", lambda s: s["op"] == op), value_set(start), lambda acc, s: changed_set(acc, s["add"], s["remove"])
-    )
     after = state.select(
-        "account_id", "message_id", fold("keywords.change", F.col("keywords")).alias("k"), fold("mailboxes.change", F.col("mailbox_ids")).alias("m"),
-        F.exists("steps", lambda s: s["op"] == "message.destroy").alias("gone"), value_set(F.col("keywords")).alias("k0"), value_set(F.col("mailbox_ids")).alias("m0"),
+        "account_id", "message_id", "gone", changed_set(F.col("keywords"), F.col("k_on"), F.col("k_off")).alias("k"), changed_set(F.col("mailbox_ids"), F.col("m_on"), F.col("m_off")).alias("m"),
+        value_set(F.col("keywords")).alias("k0"), value_set(F.col("mailbox_ids")).alias("m0"),
     )
     none = F.lit(None).cast("array<string>")
     event = lambda t, values: F.struct(F.lit(t).alias("type"), values.alias("values"))

@@ -119,7 +119,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: Plan nodes that shuffle: to ask such a plan for its partitions would run it.
-_WIDE = re.compile(r"^\W*(?:Aggregate|Join|Sort|Window|Repartition\w*|Deduplicate|Distinct|GlobalLimit|\w+InArrow \w*group)", re.M)
+_WIDE = re.compile(r"^\W*(?:Aggregate|Join|Sort|Window|Repartition\w*|Deduplicate|Distinct|GlobalLimit|FlatMapGroups\w*|FlatMapCoGroups\w*)", re.M)
 
 
 def spread(df: DataFrame) -> DataFrame:

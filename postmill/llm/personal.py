@@ -612,24 +612,43 @@ def name_candidates(c: Context, mails: list[int]) -> Iterator[tuple[int, int, tu
                 b = x + len(s2)
                 seen.add((a, b))
                 yield a, b, (s2 if comma else s, s if comma else s2, gap, int(comma), 0, 1)
-    for w in sorted((c.low & c.book) | (c.low & c.addresses) | (c.low & _GIVEN_LOWER)):
-        if len(w) < 3 or _word(w)[4] or _word(w)[1] == 3 or not ("a" <= w[0] <= "z" or w[0] > "\x7f"):
+    for w, at in _lower_places(flat, sorted((c.low & c.book) | (c.low & c.addresses) | (c.low & _GIVEN_LOWER))):
+        end = at + len(w)
+        for other, x in _lower_beside(flat, at, end):
+            a, b = (at, x + len(other)) if x > at else (x, end)
+            gap = text[end:x] if x > at else text[x + len(other) : at]
+            if (a, b) not in seen and gap.count("\n") < 2:
+                seen.add((a, b))
+                first, second = (w, other) if x > at else (other, w)
+                comma = "," in gap
+                yield a, b, (second if comma else first, first if comma else second, gap, int(comma), 0, int(b in c.marks))
+
+
+#: More words than this are looked for together, in one pass; fewer are cheaper one by one.
+MANY_WORDS = 24
+_BETWEEN = re.compile(r"[^ ,.:;)!?(\"'>“„«]+")
+
+
+def _lower_places(flat: str, words: list[str]) -> Iterator[tuple[str, int]]:
+    """(word, place) wherever one of the words stands by itself; function words, words of function mailboxes and capitals are left out."""
+    wanted = [w for w in words if len(w) > 2 and not _word(w)[4] and _word(w)[1] != 3 and ("a" <= w[0] <= "z" or w[0] > "\x7f")]
+    together = frozenset(w for w in wanted if _BETWEEN.fullmatch(w)) if len(wanted) > MANY_WORDS else frozenset()
+    if together:
+        for m in _BETWEEN.finditer(flat):
+            if m.group() in together and (m.start() == 0 or flat[m.start() - 1] in _LOWER_STARTS) and flat[m.end() : m.end() + 1] in _LOWER_ENDS:
+                yield m.group(), m.start()
+    for w in wanted:
+        if w in together:
             continue
         at = flat.find(w)
         while at >= 0:
             end = at + len(w)
-            if (at == 0 or flat[at - 1] in " (\"'>“„«") and flat[end : end + 1] in _LOWER_ENDS:
-                for other, x in _lower_beside(flat, at, end):
-                    a, b = (at, x + len(other)) if x > at else (x, end)
-                    gap = text[end:x] if x > at else text[x + len(other) : at]
-                    if (a, b) not in seen and gap.count("\n") < 2:
-                        seen.add((a, b))
-                        first, second = (w, other) if x > at else (other, w)
-                        comma = "," in gap
-                        yield a, b, (second if comma else first, first if comma else second, gap, int(comma), 0, int(b in c.marks))
+            if (at == 0 or flat[at - 1] in _LOWER_STARTS) and flat[end : end + 1] in _LOWER_ENDS:
+                yield w, at
             at = flat.find(w, end)
 
 
+_LOWER_STARTS = frozenset(" (\"'>“„«")
 _LOWER_ENDS = frozenset(["", *" ,.:;)!?"])
 
 

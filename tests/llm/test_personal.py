@@ -1,6 +1,7 @@
 """Problem 1: kinds and placeholders; held-out accuracy of the models on composed examples."""
 
 import random
+import time
 
 import pytest
 
@@ -123,3 +124,20 @@ def test_kinds_are_those_of_the_spans(judge, taught):
         for j in (judge, taught):
             assert j.kinds(text) == {k for _, _, k in j.spans(text)}
     assert judge.kinds("") == judge.kinds(None) == set()
+
+
+def test_words_are_placed_alike_one_by_one_and_together(monkeypatch):
+    r = random.Random(9)
+    words = [f"w{'abcdefgh'[k % 8]}{'xyz'[k % 3]}{k}" for k in range(60)] + ["o'brien", "zoé"]
+    text = "".join(r.choice(words) + r.choice([" ", ", ", ". ", " (", "> ", "-", "@", ":", "'"]) for _ in range(3000))
+    together = sorted(personal._lower_places(text, words))
+    monkeypatch.setattr(personal, "MANY_WORDS", 10**9)
+    assert together == sorted(personal._lower_places(text, words)) and len(together) > 500
+
+
+def test_long_text_with_many_known_words(judge):
+    book = frozenset(f"word{k}x" for k in range(5000))
+    text = " ".join(f"word{k % 5000}x and" for k in range(120_000)) + " Ask Percy Winmere for it."
+    began = time.perf_counter()
+    personal.Judge(personal.models(), book).kinds(text)
+    assert time.perf_counter() - began < 60

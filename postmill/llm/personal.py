@@ -733,6 +733,8 @@ def number_candidates(flat: str, text: str, mails: list[tuple[int, int]], lazy:
         for m in _EMAIL.finditer(flat):
             if "@" not in m.group():
                 yield "email", m.start(), m.end(), () if lazy else _email_row(flat, m.start(), m.end())
+    if not _FREE_DIGIT.search(flat):
+        return  # digits within words and addresses only
     for a, b in _number_spans(flat, text):
         row = _digit_row(flat, a, b, text)
         if row is not None:
@@ -742,6 +744,10 @@ def number_candidates(flat: str, text: str, mails: list[tuple[int, int]], lazy:
         yield "street_address", a, b, row
 
 
+#: A digit that can begin a number: both searches below it refuse those after what stands here.
+_FREE_DIGIT = re.compile(r"\d(?<![a-z0-9@_.#/\-].)")
+
+
 def context_of(flat: str, text: str, mails: list[tuple[int, int]], record: str, book: frozenset[str]) -> Context:
     locals_ = " ".join([flat[a:at] for a, at in mails] + [record]).lower()
     marks = set()

@@ -119,8 +119,6 @@ _EMAIL = re.compile(
     r"[A-Za-z0-9](?:[A-Za-z0-9._%+\-]{0,63}) ?(?:@|\((?:at|AT)\)|\[(?:at|AT)\]|\{(?:at|AT)\}|<at>| at | arroba | AT ) ?"
     r"[A-Za-z0-9][A-Za-z0-9\-]*(?:(?:\.| dot | punkt | point | punto | ponto | DOT | ?\((?:dot|DOT)\) ?| ?\[(?:dot|DOT)\] ?)[A-Za-z0-9\-]+)+"
 )
-# A text without any of these holds no address spelt out.
-_SPELT = ("at)", "at]", "at}", "<at>", "AT)", "AT]", "dot", "DOT", " arroba ", " punkt ", " point ", " punto ", " ponto ")
 _DIGITS = re.compile(r"\d(?:(?:[ .\-/]|\) ?|\)-| \()?\d){5,}")
 _CAP = r"[A-ZÀ-Þ\u0080-\U0010ffff][^\s,;:.!?()<>@\d]*"
 # Words for streets. English ones follow the name, Romance ones precede it, German ones end it.
@@ -151,11 +149,12 @@ _ORDER_CUES = re.compile(
 _MAILTO_CUES = re.compile(r"(?:\bsee|\bref|message-id|in-reply-to|references|siehe|voir|v.{1,4}ase|ver|vide|id|cf)\W*$", re.I)
 
 
-def _has(text: str, marks: tuple[str, ...]) -> bool:
-    for m in marks:
-        if m in text:
-            return True
-    return False
+def _may_be_spelt(text: str) -> bool:
+    """Whether a text holds a piece of an address that is spelt out; without one it has none."""
+    return (
+        "dot" in text or "at)" in text or "at]" in text or "DOT" in text or " arroba " in text or " punkt " in text or " point " in text or " punto " in text
+        or " ponto " in text or "at}" in text or "<at>" in text or "AT)" in text or "AT]" in text
+    )
 
 
 def _blanks(m: re.Match) -> str:
@@ -471,7 +470,7 @@ class Context:
 
     def __init__(self, text: str, flat: str, addresses: set[str], locals_: str, marks: set[int], book: frozenset[str]) -> None:
         self.text, self.flat, self.addresses, self.locals, self.book = text, flat, addresses, locals_, book
-        self.marks = marks  # ends of what stands right before an address
+        self.marks = marks  # where addresses begin
         self._asked, self._low = 0, None
 
     @property
@@ -489,6 +488,14 @@ class Context:
             return f" {word} " in flat or flat.startswith(word + " ") or flat.endswith(" " + word) or flat == word
         return word in self.low
 
+    def marked(self, end: int) -> int:
+        """1 if an address comes right after this place."""
+        flat = self.flat
+        n = len(flat)
+        while end < n and flat[end] in " <(":
+            end += 1
+        return int(end in self.marks)
+
     def known(self, plain: str) -> int:
         """2 if an address of the record has this piece, 1 if one only begins or goes on with it."""
         if len(plain) < 3:
@@ -596,7 +603,7 @@ def name_candidates(c: Context, mails: list[int]) -> Iterator[tuple[int, int, tu
         if lines > 1 or lines and middle or initial and len(second) < 3:
             continue
         seen.add((a, b))
-        mark = int(b in c.marks)
+        mark = c.marked(b)
         if gap[0] == ",":
             yield a, b, (second, first, gap, 1, 0, mark)
         else:
@@ -621,7 +628,7 @@ def name_candidates(c: Context, mails: list[int]) -> Iterator[tuple[int, int, tu
                 seen.add((a, b))
                 first, second = (w, other) if x > at else (other, w)
                 comma = "," in gap
-                yield a, b, (second if comma else first, first if comma else second, gap, int(comma), 0, int(b in c.marks))
+                yield a, b, (second if comma else first, first if comma else second, gap, int(comma), 0, c.marked(b))
 
 
 #: More words than this are looked for together, in one pass; fewer are cheaper one by one.
@@ -729,7 +736,7 @@ def number_candidates(flat: str, text: str, mails: list[tuple[int, int]], lazy:
             if m:
                 ends = m.end()
                 yield "email", a, ends, () if lazy else _email_row(flat, a, ends)
-    if _has(flat, _SPELT):
+    if _may_be_spelt(flat):
         for m in _EMAIL.finditer(flat):
             if "@" not in m.group():
                 yield "email", m.start(), m.end(), () if lazy else _email_row(flat, m.start(), m.end())
@@ -750,12 +757,7 @@ _FREE_DIGIT = re.compile(r"\d(?<![a-z0-9@_.#/\-].)")
 
 def context_of(flat: str, text: str, mails: list[tuple[int, int]], record: str, book: frozenset[str]) -> Context:
     locals_ = " ".join([flat[a:at] for a, at in mails] + [record]).lower()
-    marks = set()
-    for a, _ in mails:
-        while a and flat[a - 1] in " <(":
-            a -= 1
-        marks.add(a)
-    return Context(text, flat, set(_PIECES.findall(locals_)), locals_, marks, book)
+    return Context(text, flat, set(_PIECES.findall(locals_)), locals_, {a for a, _ in mails}, book)
 
 
 def candidates(text: str, record: str = "", book: frozenset[str] = frozenset()) -> Iterator[tuple[str, int, int, tuple]]:
@@ -891,7 +893,7 @@ BOOK_SHARE = 1 / 5000
 BOOK_WORDS = 200_000
 
 
-_MARKS = str.maketrans(dict.fromkeys(",;:<>()[]\"“”„«»", " "))
+_MARKS = ",;:<>()[]\"“”„«»"
 
 
 def _header_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -901,7 +903,11 @@ def _header_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for b in batches if not last else (None,):
             if b is not None:
                 for sender, recipients in zip(b["sender"].to_pylist(), b["recipients"].to_pylist()):
-                    for w in set(f"{sender or ''} {recipients or ''}".lower().translate(_MARKS).split()):
+                    line = f"{sender or ''} {recipients or ''}".lower()
+                    for mark in _MARKS:
+                        if mark in line:
+                            line = line.replace(mark, " ")
+                    for w in set(line.split()):
                         if "@" not in w and "." not in w and len(w) > 1 and w[0].isalpha():
                             counts[w] = counts.get(w, 0) + 1
             if last or len(counts) > 200_000:
